@@ -41,11 +41,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    """A table's column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def utf8(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts (null: empty) and the offset of each text, plus the end."""
-    arr = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")
-    if isinstance(arr, pa.ChunkedArray):
-        arr = pa.concat_arrays(arr.chunks) if arr.num_chunks else pa.array([], pa.string())
+    arr = pc.fill_null(whole(column), "")
     if len(arr) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     kind = np.int64 if pa.types.is_large_string(arr.type) else np.int32

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.substring_dedup import remove_repeats
 
 QUERIES = {}
@@ -33,9 +34,27 @@ def _documents(spark, sf_dir):
     lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
     n AS (SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN lists USING (doc_id))
     SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-           sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), i -> NOT list_contains(gone, i)), i -> ws[i]), ' ')) AS kept_sha256
+           sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]), ' ')) AS kept_sha256
     FROM n
     """,
 )
 def op6_substring_dedup(spark, sf_dir):
     return remove_repeats(_documents(spark, sf_dir), window=13, texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    "op4_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * same >= 80 * (x.n + y.n - same)),
+    ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, ab.b FROM r JOIN ab ON r.b = ab.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+    """,
+)
+def op4_near_dedup(spark, sf_dir):
+    return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
