@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from medialake.llm.near_dedup import near_duplicates
+from medialake.llm.packing import pack
 from medialake.llm.substring_dedup import remove_repeats
 
 QUERIES = {}
@@ -58,3 +61,8 @@ def op6_substring_dedup(spark, sf_dir):
 )
 def op4_near_dedup(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
