@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from medialake.llm import hamming_search, secrets, sharding, url_filter
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
 from medialake.llm.substring_dedup import remove_repeats
@@ -66,3 +68,47 @@ def op4_near_dedup(spark, sf_dir):
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark, sf_dir):
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark, sf_dir):
+    findings, _ = secrets.scan(_documents(spark, sf_dir))
+    return secrets.digest(findings)
+
+
+@query("op5_sharding")
+def op5_sharding(spark, sf_dir):
+    placed = sharding.shard(_documents(spark, sf_dir), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# The rules of the contract.
+URL_RULES = [
+    url_filter.UrlRule("com", "/en/", "block"),
+    url_filter.UrlRule("example.com", "/en/7", "allow"),
+    url_filter.UrlRule("net", "/de/", "allow"),
+    url_filter.UrlRule("example.net", "/de/8", "block"),
+    url_filter.UrlRule("org", "/es/", "block"),
+]
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op10_hamming_top_k",
+    r"""
+    WITH c AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    q AS (SELECT id AS query_id, b AS w FROM c WHERE id % 100 = 0),
+    d AS (SELECT query_id, id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN b[i] <> w[i] THEN 1 ELSE 0 END)) AS INT) AS distance FROM q, c),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INT) AS rank FROM d)
+    SELECT query_id, rank, id AS vec_id, distance FROM r WHERE rank <= 10
+    """,
+)
+def op10_hamming_top_k(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    codes = vectors.where("embedding is not null").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding"), 64).alias("code"))
+    return hamming_search.top_k(codes, codes.where("id % 100 = 0"), k=10, bits=64).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
