@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from medialake.llm import hamming_search, secrets, sharding, url_filter
+from medialake.llm.language_id import identify
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
 from medialake.llm.substring_dedup import remove_repeats
@@ -28,6 +29,15 @@ def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+HELD_OUT = F.expr("coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2, false)")
+
+
+@query("op1_language_id")
+def op1_language_id(spark, sf_dir):
+    found = identify(_documents(spark, sf_dir), training=~HELD_OUT & F.col("doc_id").isNotNull())
+    return found.select("doc_id", HELD_OUT.alias("held_out"), "lang_pred", "score", "langs", "proportions")
+
+
 @query(
     "op6_substring_dedup",
     r"""
