@@ -77,6 +77,14 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z and the capital letters of Latin-1 lower-cased."""
+    high = (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    high[1:] &= data[:-1] == 0xC3
+    high[:1] = False
+    return lowered(data) + high.astype(np.uint8) * np.uint8(32)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64; kept between calls."""
     have = _powers.get(base)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.batches import chunks, lowered, small_batches, spans, utf8, whole
+from medialake.llm.batches import chunks, folded, small_batches, spans, utf8
 
 SYMBOLS = 64
 CODES = SYMBOLS**3
@@ -26,12 +26,7 @@ _SYMBOL[128:] = 27 + np.arange(128) % 37
 
 def trigrams(data: np.ndarray, offsets: np.ndarray):
     """Words' letters with a blank after each text: each word's first and last place, each text's first word, and the code of each place's trigram."""
-    data = lowered(data)
-    high = (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    high[1:] &= data[:-1] == 0xC3
-    if len(high):
-        high[0] = False
-    data = data + high.astype(np.uint8) * np.uint8(32)  # capital letters of Latin-1
+    data = folded(data)
     symbols = np.insert(_SYMBOL[data], offsets[1:], 0)
     offsets = offsets + np.arange(len(offsets))
     starts, ends, first = spans(symbols > 0, offsets)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from medialake.llm import hamming_search, secrets, sharding, url_filter
+from medialake.llm.decontaminate import contaminated
 from medialake.llm.language_id import identify
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
@@ -122,3 +123,8 @@ def op10_hamming_top_k(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     codes = vectors.where("embedding is not null").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding"), 64).alias("code"))
     return hamming_search.top_k(codes, codes.where("id % 100 = 0"), k=10, bits=64).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
