@@ -1,13 +1,66 @@
-"""A corpus pipeline in stages; each takes (spark, docs, sf_dir) and returns the documents it keeps."""
+"""A corpus pipeline in stages; each takes (spark, docs, sf_dir) and returns the documents it keeps.
+
+Language ID drops documents without a language, near-dedup keeps one document of each group, decontamination
+drops documents that hold a benchmark item, the secret scan blanks what it finds, and packing lays the tokens of
+what is left into sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from medialake.llm import secrets
+from medialake.llm.decontaminate import contaminated
+from medialake.llm.language_id import identify
+from medialake.llm.near_dedup import near_duplicates
+from medialake.llm.packing import pack
 from medialake.storage import stored
 
-STAGES = []
-ORACLE_SQL = None
+LEAST_SCORE = 1 / 3
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id isn't in ``gone``, which is written first: if its size allows, Spark broadcasts it and no text moves."""
+    return docs.join(stored(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter, and those of which no language holds a third."""
+    found = identify(docs)
+    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest document of each group of near copies: five-word shingles, a similarity of 0.8; of rows with one id, one."""
+    kept = _without(docs, near_duplicates(docs, shingle=5, percent=80).where("not kept"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item, word for word or edited."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret by a mark that names its kind; documents stay."""
+    _, ledger = secrets.scan(docs)
+    findings = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    found = stored(findings, "found")
+    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    return docs.withColumn("blob", blob).join(found, "blob", "left").withColumn("text", secrets.redacted(F.col("text"), F.col("found"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lays whole documents, by their tokens, into sequences of 4096."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [("language ID", language_id), ("near dedup", near_dedup), ("decontamination", decontamination), ("secret scan", secret_scan), ("best-fit packing", packing)]
+ORACLE_SQL = None  # tokenisers are beyond SQL; tests/llm holds the stages against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ Jaccard similarity of the full sets confirms. A pair at 0.8 shares fewer than ``
 a probability below 1e-9.
 
 A list with at most ``short`` classes yields its pairs. Longer lists are never expanded: a pair found by none of
-the short lists shares ``SURE`` values of long lists, so only classes with as many matter, and they are compared
-with pivots. The pivot of a list is its smallest active class; members linked to the pivot rest, unless the
-triangle inequality of the Jaccard distance leaves it open that they link to a member that came to rest with an
-earlier pivot. What is still active after ``rounds`` rounds is compared with all members of its lists.
+the short lists shares ``SURE`` values of long lists, so only classes with as many matter. In each round some
+pivots of a long list are compared with its members. Components need no more than that pairs from different
+components are compared: a list is done when all its members outside its largest component have been pivots.
+Should that take more than ``rounds`` rounds, all that remain are compared with their lists' members at once.
 """
 
 from __future__ import annotations
@@ -82,49 +82,45 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return pairs.join(sides[0], "a").join(sides[1], "b").where(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)").withColumn("union", union).where(enough).select("a", "b")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact sizes of intersection and union of the pairs' full sets: (a, b, same, both)."""
+def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs whose estimate passes and whose full sets have the similarity."""
     sides = [sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    pairs = _estimated(pairs, classes, k, percent).repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a")
     same = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), same.alias("same")).select("a", "b", "same", F.expr("n_a + n_b - same").alias("both"))
-
-
-def _pivot_rounds(entries: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, rounds: int) -> list[DataFrame]:
-    """Links among the classes of long lists. entries: (value, id)."""
-    far = (100 - percent) / 100
-    links: list[DataFrame] = []
-    state = stored(entries.select("value", "id", F.lit(True).alias("active"), F.lit(False).alias("near")), "lists")
-    for k_round in range(rounds + 1):
-        active = state.where("active")
-        if not active.limit(1).count():
+    sized = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), same.alias("same"))
+    return sized.where(f"same * 100 >= {percent} * (n_a + n_b - same)").select("a", "b")
+
+
+def _crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, pivots: int, rounds: int) -> DataFrame:
+    """All of ``links`` and what links the long lists' members (value, id) to each other, as far as components need it."""
+    pivoted = None
+    for n in range(rounds + 1):
+        known = stored(connected_components(links, "a", "b"), "components")
+        at = stored(crowded.join(known, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("component", "id").alias("component")), "crowd")
+        # A list's main component is its largest; pairs within a component need no comparison.
+        main = at.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        outside = at.join(main, "value").where("component <> main").select("value", "id", "component")
+        if pivoted is not None:
+            outside = outside.join(pivoted, ["value", "id"], "left_anti")
+        outside = stored(outside, "outside")
+        if not outside.limit(1).count():
             break
-        if k_round == rounds:  # the rest: each against all members of its lists
-            pivots = active.select("value", F.col("id").alias("pivot"))
+        if n == rounds:  # the rest, however many they are: each against all members of its lists
+            met = at.select("value", "id", "component").join(outside.select("value", F.col("id").alias("pivot"), F.col("component").alias("other")), "value").where("component <> other")
+            pairs = met.select("id", "pivot")
         else:
-            pivots = active.groupBy("value").agg(F.min("id").alias("pivot"))
-        met = state.join(pivots, "value").where("id <> pivot")
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        # A looser estimate than for links: distances up to twice the link's decide who may rest.
-        measured = stored(_distances(_estimated(pairs, classes, k, max(1, 2 * percent - 100)), sets), "measured")
-        links.append(measured.where(f"same * 100 >= {percent} * both").select("a", "b"))
-        if k_round == rounds:
-            break
-        seen = measured.select(F.explode(F.array(F.struct(F.col("a").alias("pivot"), F.col("b").alias("id")), F.struct(F.col("b").alias("pivot"), F.col("a").alias("id")))).alias("x"), (1 - F.col("same") / F.col("both")).alias("d"), F.expr(f"same * 100 >= {percent} * both").alias("linked"))
-        seen = seen.select("x.*", "d", "linked")
-        now = state.join(pivots, "value").join(seen, ["pivot", "id"], "left")
-        rests = F.col("linked") & ~F.col("near")
-        now = now.withColumn("rests", F.coalesce(rests, F.lit(False)))
-        radius = now.groupBy("value").agg(F.max(F.when(F.col("rests"), F.col("d")).otherwise(0.0)).alias("radius"))
-        now = now.join(radius, "value").where("id <> pivot")
-        idle = state.join(pivots, "value", "left_anti")
-        state = stored(
-            now.select("value", "id", (F.col("active") & ~F.col("rests")).alias("active"), (F.col("near") | F.coalesce(~F.col("linked") & (F.col("d") <= far + F.col("radius") + 1e-9), F.lit(False))).alias("near")).union(idle),
-            "lists",
-        )
+            chosen = stored(outside.withColumn("n", F.row_number().over(Window.partitionBy("value").orderBy("id"))).where(F.col("n") <= pivots).drop("n"), "pivots")
+            pivoted = chosen.select("value", "id") if pivoted is None else pivoted.union(chosen.select("value", "id"))
+            by_list = chosen.groupBy("value").agg(F.collect_list(F.struct("id", "component")).alias("pivots"))
+            mine = at.join(by_list, "value").groupBy("id", "component").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))  # at most listed x pivots of them
+            other = F.transform(F.filter("pivots", lambda x: x["component"] != F.col("component")), lambda x: x["id"])
+            pairs = mine.select("id", F.explode(other).alias("pivot"))
+        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        links = links.union(stored(_linked(pairs, classes, sets, k, percent), "links"))
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 48, listed: int = 24, short: int = 8, rounds: int = 6, chunk_bytes: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 48, listed: int = 24, short: int = 16, pivots: int = 8, rounds: int = 6, chunk_bytes: int = 4_000_000) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` per cent.
 
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a set holds the distinct shingles of
@@ -156,22 +152,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     for side in "ab":
         pairs = pairs.join(hot.select(F.col("id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
     pairs = pairs.where("overlap + least(coalesce(hot_a, 0), coalesce(hot_b, 0)) >= need").select("a", "b")
-    pairs = stored(_estimated(pairs, classes, k, percent), "pairs")
+    pairs = stored(pairs, "pairs")
 
     ranked = long.join(hot.where("hot >= need").select("id", "hot"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("value")))
     crowded = stored(ranked.where("rank <= hot - need + 1").select("value", "id"), "crowded")
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().withColumnRenamed("a", "id")
     sets = stored(source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_setter(shingle, chunk_bytes), "id long, shingles array<long>"), "sets")
-    links = [_distances(pairs, sets).where(f"same * 100 >= {percent} * both").select("a", "b"), *_pivot_rounds(crowded, classes, sets, k, percent, rounds)]
+    links = stored(_linked(pairs, classes, sets, k, percent), "links")
 
     # Classes of one document (an id that names several texts) belong together as well.
     member = known.select("doc_id", "set_id").distinct().join(heads, "set_id").select("doc_id", "id")
     first = stored(member.groupBy("doc_id").agg(F.min("id").alias("head"), F.max("id").alias("last")), "heads")
     if first.where("head <> last").limit(1).count():
-        links.append(member.join(first.where("head <> last"), "doc_id").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    found = connected_components(edges, "a", "b").withColumnRenamed("node", "head")
+        links = links.union(member.join(first.where("head <> last"), "doc_id").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    if hot.limit(1).count():
+        links = _crowded_links(crowded, links, classes, sets, k, percent, pivots, rounds)
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "head")
     placed = first.select("doc_id", "head").join(found, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
     return drawn.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

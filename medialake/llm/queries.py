@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from medialake.llm import hamming_search, secrets, sharding, url_filter
 from medialake.llm.decontaminate import contaminated
+from medialake.llm.html_extract import extract
 from medialake.llm.language_id import identify
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
@@ -128,3 +129,8 @@ def op10_hamming_top_k(spark, sf_dir):
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark, sf_dir):
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")

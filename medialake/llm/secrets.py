@@ -117,3 +117,15 @@ def digest(findings: DataFrame, rules=RULES) -> DataFrame:
     return findings.select(
         F.col("path").alias("doc_id"), *(n(k).alias(f"n_{k}") for k in base), F.sha2(spelled(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans")
     )
+
+
+def redacted(text: Column, found: Column) -> Column:
+    """``text`` with every span of ``found`` (sorted; overlaps are merged) replaced by ``[kind]``."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, x["begin"] - state["at"])
+        out = F.when(x["begin"] >= state["at"], F.concat(state["out"], gap, F.lit("["), x["kind"], F.lit("]"))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], x["finish"]).alias("at"), out.alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))).otherwise(text)
