@@ -24,3 +24,11 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    import importlib
+
+    for name in ("event_queries", "column_queries", "filter_queries", "report_queries", "vector_queries", "curation_queries"):
+        importlib.import_module(f"medialake.plans.{name}")
