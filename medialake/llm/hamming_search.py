@@ -50,21 +50,27 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
     index = stored(heads.select(F.posexplode("code").alias("segment", "value"), "code", "ids"), "index")
     asked = queries.where("id is not null and code is not null").select("id", "code")
     # Equal query codes are searched once.
-    open_ = stored(asked.select(F.col("code").alias("wanted")).distinct(), "wanted")
+    open_ = stored(asked.select(F.col("code").alias("wanted")).distinct().withColumn("far", F.lit(bits)), "wanted")
     masks = spark.range(1 << min(bits, SEGMENT)).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("flips"))  # 65,536 rows at most
     done, met = None, None
     for radius in range(SEGMENT + 1):
         if not open_.limit(1).count():
             break
-        probes = open_.select("wanted", F.posexplode("wanted").alias("segment", "own"), F.lit(radius).alias("flips")).join(F.broadcast(masks), "flips").select("wanted", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        new = probes.join(index, ["segment", "value"]).select("wanted", "code", "ids", distance(F.col("wanted"), F.col("code")).alias("distance"))
-        met = stored((new if met is None else met.join(open_, "wanted", "left_semi").union(new)).dropDuplicates(["wanted", "code"]).withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy("distance", F.col("ids")[0]))).where(F.col("n") <= k).drop("n"), "met")
+        probes = open_.select("wanted", F.posexplode("wanted").alias("segment", "own"), F.lit(radius).alias("flips"), "far").join(F.broadcast(masks), "flips").select("wanted", "far", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        # Codes farther than the k-th that is known already are no use.
+        index_ = index.withColumnsRenamed({"segment": "segment_", "value": "value_"})
+        useful = (F.col("segment") == F.col("segment_")) & (F.col("value") == F.col("value_")) & (distance(F.col("wanted"), F.col("code")) <= F.col("far"))
+        new = probes.join(index_, useful).select("wanted", "code", "ids", distance(F.col("wanted"), F.col("code")).alias("distance"))
+        met = stored((new if met is None else met.join(open_.select("wanted"), "wanted", "left_semi").union(new)).dropDuplicates(["wanted", "code"]).withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy("distance", F.col("ids")[0]))).where(F.col("n") <= k).drop("n"), "met")
         best = met.select("wanted", F.explode("ids").alias("id"), "distance").withColumn("rank", F.row_number().over(Window.partitionBy("wanted").orderBy("distance", "id"))).where(F.col("rank") <= k)
         covered = segments * (radius + 1) - 1 if radius < SEGMENT else bits
-        over = stored(best.groupBy("wanted").agg(F.max("distance").alias("far"), F.count("*").alias("n")).where((F.col("n") == k) & (F.col("far") <= covered) if radius < SEGMENT else F.lit(True)).select("wanted"), "over")
+        state = best.groupBy("wanted").agg(F.max("distance").alias("most"), F.count("*").alias("n"))
+        state = stored(open_.join(state, "wanted", "left").select("wanted", F.when(F.col("n") == k, F.col("most")).otherwise(F.lit(bits)).alias("far"), F.coalesce(F.col("n") == k, F.lit(False)).alias("full")), "state")
+        finished = F.col("full") & (F.col("far") <= covered) if radius < SEGMENT else F.lit(True)
+        over = state.where(finished).select("wanted")
         ended = best.join(over, "wanted", "left_semi")
         done = ended if done is None else done.union(ended)
-        open_ = stored(open_.join(over, "wanted", "left_anti"), "wanted")
+        open_ = state.where(~finished).select("wanted", "far")
     if done is None:
         return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).alias("distance")).limit(0)
     return asked.select(F.col("id").alias("query_id"), F.col("code").alias("wanted")).join(done, "wanted").select("query_id", "rank", "id", "distance")
