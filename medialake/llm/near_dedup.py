@@ -2,11 +2,13 @@
 
 Each distinct shingle set (a class of documents) keeps the k smallest values of one hash function. Inverted
 lists of the ``listed`` smallest values generate overlaps; the estimate from the union's sketch filters; the
-Jaccard similarity of the full sets confirms. A pair at 0.8 shares fewer than ``SURE`` of 24 listed values with
-a probability below 1e-9.
+Jaccard similarity of the full sets confirms. What a pair at
+the threshold shares is binomial: of 40 values it is fewer than 15 with a probability below ``RISK``.
 
-A list with at most ``short`` classes yields its pairs. Longer lists are never expanded: a pair found by none of
-the short lists shares ``SURE`` values of long lists, so only classes with as many matter. In each round some
+A list with at most ``short`` classes yields its pairs. Longer lists are first divided by the sizes of the sets;
+what is still longer is never expanded: a pair found by none of
+the short lists shares that many values of long lists, so only classes with as many matter, and of these only
+classes that share enough of their whole sets with others of them. In each round some
 pivots of a long list are compared with its members. Components need no more than that pairs from different
 components are compared: a list is done when all its members outside its largest component have been pivots.
 Should that take more than ``rounds`` rounds, all that remain are compared with their lists' members at once.
@@ -15,17 +17,28 @@ Should that take more than ``rounds`` rounds, all that remain are compared with
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.llm.batches import SPACES, chunks, lowered, mixed, rolled, small_batches, spans, utf8, whole, word_hashes, WORD_BASES
 from medialake.operators.graph import connected_components
 from medialake.storage import stored
 
-SURE = 6
+RISK = 1e-9
+
+
+def sure(values: int, share: float) -> int:
+    """The number of shared values that a pair of this similarity has among ``values`` of its union, but for a chance of RISK."""
+    below = 0.0
+    for n in range(values + 1):
+        below += comb(values, n) * share**n * (1 - share) ** (values - n)
+        if below > RISK:
+            return n
+    return values
 
 
 def shingle_sets(text: pa.ChunkedArray, n: int):
@@ -78,7 +91,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     sides = [classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     both = F.size(F.array_intersect("union", F.array_intersect("sketch_a", "sketch_b")))
-    enough = F.when(F.size("union") < k, both * 100 >= percent * F.size("union")).otherwise(both * 200 >= percent * k)
+    enough = F.when(F.size("union") < k, both * 100 >= percent * F.size("union")).otherwise(both >= sure(k, percent / 100))
     return pairs.join(sides[0], "a").join(sides[1], "b").where(f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)").withColumn("union", union).where(enough).select("a", "b")
 
 
@@ -91,36 +104,53 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, perce
     return sized.where(f"same * 100 >= {percent} * (n_a + n_b - same)").select("a", "b")
 
 
+def _shareable(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, n, shared): how many shingles of each set occur in another of the sets; sets that share too few for any link are left out."""
+    shingles = sets.select("id", F.explode("shingles").alias("shingle"))
+    again = shingles.groupBy("shingle").count().where("count > 1").select("shingle")
+    shared = shingles.join(again, "shingle").groupBy("id").agg(F.count("*").alias("shared"))
+    return sets.select("id", F.size("shingles").alias("n")).join(shared, "id").where(f"shared * 100 >= {percent} * n").dropDuplicates(["id"])
+
+
+def _able(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets that have only shared shingles in common can have the similarity."""
+    most = F.least(x["shared"], y["shared"])
+    return most * 100 >= percent * (x["n"] + y["n"] - most)
+
+
 def _crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, pivots: int, rounds: int) -> DataFrame:
-    """All of ``links`` and what links the long lists' members (value, id) to each other, as far as components need it."""
+    """All of ``links`` and what links the long lists' members (value, id, n, shared) to each other, as far as components need it."""
     pivoted = None
-    for n in range(rounds + 1):
-        known = stored(connected_components(links, "a", "b"), "components")
-        at = stored(crowded.join(known, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("component", "id").alias("component")), "crowd")
+    me = F.struct("id", "component", "n", "shared")
+    for turn in range(rounds + 1):
+        known = connected_components(links, "a", "b")
+        at = stored(crowded.join(known, F.col("id") == F.col("node"), "left").select("value", F.coalesce("component", "id").alias("component"), "id", "n", "shared").select("value", me.alias("x")), "crowd")
         # A list's main component is its largest; pairs within a component need no comparison.
-        main = at.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        outside = at.join(main, "value").where("component <> main").select("value", "id", "component")
+        sizes = at.groupBy("value", F.col("x.component").alias("component")).agg(F.count("*").alias("size"), F.min("x.n").alias("n"))
+        main = sizes.groupBy("value").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("parts"), F.min("n").alias("least")).where("parts > 1")
+        outside = at.join(main, "value").where("x.component <> main").where(f"x.shared * 100 >= {percent} * (x.n + least - x.shared)").select("value", "x", F.col("x.id").alias("id"))
         if pivoted is not None:
             outside = outside.join(pivoted, ["value", "id"], "left_anti")
         outside = stored(outside, "outside")
         if not outside.limit(1).count():
             break
-        if n == rounds:  # the rest, however many they are: each against all members of its lists
-            met = at.select("value", "id", "component").join(outside.select("value", F.col("id").alias("pivot"), F.col("component").alias("other")), "value").where("component <> other")
-            pairs = met.select("id", "pivot")
-        else:
-            chosen = stored(outside.withColumn("n", F.row_number().over(Window.partitionBy("value").orderBy("id"))).where(F.col("n") <= pivots).drop("n"), "pivots")
+        if turn == rounds:  # the rest, however many they are: each against all members of its lists
+            other = outside.select("value", F.col("x").alias("y"))
+            pairs = at.join(other, "value").where((F.col("x.component") != F.col("y.component")) & _able(F.col("x"), F.col("y"), percent)).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
+        else:  # those that have the most in common with others come first
+            order = Window.partitionBy("value").orderBy((F.col("x.n") / F.col("x.shared")), "id")
+            chosen = stored(outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place"), "pivots")
             pivoted = chosen.select("value", "id") if pivoted is None else pivoted.union(chosen.select("value", "id"))
-            by_list = chosen.groupBy("value").agg(F.collect_list(F.struct("id", "component")).alias("pivots"))
-            mine = at.join(by_list, "value").groupBy("id", "component").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))  # at most listed x pivots of them
-            other = F.transform(F.filter("pivots", lambda x: x["component"] != F.col("component")), lambda x: x["id"])
-            pairs = mine.select("id", F.explode(other).alias("pivot"))
+            by_list = chosen.groupBy("value").agg(F.collect_list("x").alias("pivots"))
+            mine = at.join(by_list, "value").groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))  # at most listed x pivots of them
+            mine = mine.select("x", F.filter("pivots", lambda y: (F.col("x.component") != y["component"]) & _able(F.col("x"), y, percent)).alias("pivots"))
+            pairs = mine.select(F.col("x.id").alias("id"), F.explode(F.transform("pivots", lambda y: y["id"])).alias("pivot"))
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         links = links.union(stored(_linked(pairs, classes, sets, k, percent), "links"))
     return links
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 48, listed: int = 24, short: int = 16, pivots: int = 8, rounds: int = 6, chunk_bytes: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, listed: int = 40, short: int = 16, pivots: int = 24, rounds: int = 4, chunk_bytes: int = 4_000_000) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` per cent.
 
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a set holds the distinct shingles of
@@ -136,18 +166,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     drawn = stored(source.mapInArrow(_sketcher(shingle, k, chunk_bytes), "doc_id long, n_shingles long, set_id binary, sketch array<long>"), "sketches")
     known = drawn.where("set_id is not null and doc_id is not null")
     heads = known.select("doc_id", "set_id").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    classes = stored(
-        known.join(heads.withColumnRenamed("id", "doc_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"),
-        "classes",
-    )
-    need = F.least(F.lit(SURE), F.ceil(F.col("n") * percent / 100))
-    entries = classes.select(F.explode(F.slice("sketch", 1, listed)).alias("value"), "id", need.alias("need")).distinct()
+    # A class is its smallest document; other documents of it, exact copies, leave (without a shuffle of sketches where they are few).
+    copies = stored(known.select("doc_id", "set_id").join(heads, "set_id").where("doc_id <> id").select("doc_id", "set_id"), "copies")
+    classes = known.join(copies, ["doc_id", "set_id"], "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    need = F.least(F.lit(sure(listed, percent / 100)), F.ceil(F.col("n") * percent / 100))
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))  # sizes that allow a link differ by at most one step
+    entries = classes.select(F.explode(F.slice("sketch", 1, listed)).alias("value"), "id", need.alias("need"), step.alias("step")).distinct()
     sizes = entries.groupBy("value").count().where("count > 1")
     lists = stored(entries.join(sizes, "value"), "inverted")
+    # Longer lists are divided by size, with an overlap of a step.
+    divided = lists.where(F.col("count") > short).withColumn("step", F.explode(F.array("step", F.col("step") + 1))).select(F.xxhash64("value", "step").alias("value"), "id", "need")
+    again = divided.groupBy("value").count().where("count > 1")
+    lists = stored(lists.where(F.col("count") <= short).select("value", "id", "need", "count").union(divided.join(again, "value").select("value", "id", "need", "count")), "inverted")
     long = lists.where(F.col("count") > short)
     hot = stored(long.groupBy("id").agg(F.count("*").alias("hot"), F.min("need").alias("need")), "hot")
 
-    mine, other = lists.where(F.col("count") <= short).select("value", F.col("id").alias("a"), "need"), lists.where(F.col("count") <= short).select("value", F.col("id").alias("b"), F.col("need").alias("need_b"))
+    brief = lists.where(F.col("count") <= short)
+    mine, other = brief.select("value", F.col("id").alias("a"), "need"), brief.select("value", F.col("id").alias("b"), F.col("need").alias("need_b"))
     pairs = mine.join(other, "value").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min(F.least("need", "need_b")).alias("need"))
     for side in "ab":
         pairs = pairs.join(hot.select(F.col("id").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
@@ -159,6 +194,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().withColumnRenamed("a", "id")
     sets = stored(source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_setter(shingle, chunk_bytes), "id long, shingles array<long>"), "sets")
     links = stored(_linked(pairs, classes, sets, k, percent), "links")
+    crowded = stored(crowded.join(_shareable(sets.join(crowded.select("id").distinct(), "id", "left_semi"), percent), "id"), "crowded")
 
     # Classes of one document (an id that names several texts) belong together as well.
     member = known.select("doc_id", "set_id").distinct().join(heads, "set_id").select("doc_id", "id")
