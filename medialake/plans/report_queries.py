@@ -1 +1,175 @@
-"""Registered queries."""
+"""Registered queries over roll-ups, audits and text mining."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from medialake.registry import query, table
+from medialake.sources.views import oracle, view
+
+
+def share(condition):
+    return F.count_if(condition)
+
+
+@query("ag1_facets", oracle("v_assets", "SELECT folder, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM v_assets WHERE trashed_at IS NULL GROUP BY folder ORDER BY n DESC, folder LIMIT 10"))
+def ag1(spark, sf_dir):
+    counts = view(spark, sf_dir, "v_assets").where("trashed_at is null").groupBy("folder").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.orderBy(F.desc("n"), "folder").limit(10).crossJoin(F.broadcast(total))
+
+
+@query("ag2_people", oracle("v_faces", "SELECT person_id, count(*) AS n, arg_max(face_id, score * 100000 - face_id) AS cover FROM v_faces WHERE person_id LIKE 'p%' GROUP BY 1"))
+def ag2(spark, sf_dir):
+    return view(spark, sf_dir, "v_faces").where("person_id like 'p%'").groupBy("person_id").agg(F.count("*").alias("n"), F.max_by("face_id", F.struct("score", -F.col("face_id"))).alias("cover"))
+
+
+@query("ag3_label_statistics", oracle("v_faces", "SELECT count(*) AS total, count(*) FILTER (person_id LIKE 'p%') AS named, count(*) FILTER (person_id = '_ignored') AS ignored, count(*) FILTER (person_id IS NULL) AS unlabeled FROM v_faces"))
+def ag3(spark, sf_dir):
+    p = F.col("person_id")
+    return view(spark, sf_dir, "v_faces").agg(F.count("*").alias("total"), share(p.like("p%")).alias("named"), share(p == "_ignored").alias("ignored"), share(p.isNull()).alias("unlabeled"))
+
+
+@query("ag6_timeline_rollup", "SELECT year(ts) AS year, month(ts) AS month, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_type) AS channels FROM events GROUP BY ROLLUP (year(ts), month(ts), CAST(ts AS DATE))")
+def ag6(spark, sf_dir):
+    return table(spark, sf_dir, "events").rollup(F.year("ts").alias("year"), F.month("ts").alias("month"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("channels"))
+
+
+@query("ag7_albums", oracle("v_assets", "SELECT folder, count(*) AS n, count(event_name) AS named, coalesce(list_sort(list(DISTINCT event_name) FILTER (event_name IS NOT NULL)), []) AS names, count(event_name) * 10 >= count(*) * 9 AS rename FROM v_assets GROUP BY folder"))
+def ag7(spark, sf_dir):
+    return view(spark, sf_dir, "v_assets").groupBy("folder").agg(F.count("*").alias("n"), F.count("event_name").alias("named"), F.sort_array(F.collect_set("event_name")).alias("names")).withColumn("rename", F.col("named") * 10 >= F.col("n") * 9)
+
+
+@query("ag8_trash_summary", oracle("v_assets", "SELECT count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) FILTER (length(caption) > 0) AS captioned, count(person_id) AS with_person FROM v_assets WHERE trashed_at IS NOT NULL"))
+def ag8(spark, sf_dir):
+    return view(spark, sf_dir, "v_assets").where("trashed_at is not null").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"), share(F.length("caption") > 0).alias("captioned"), F.count("person_id").alias("with_person"))
+
+
+@query("ag10_date_profile", "SELECT year(o_orderdate) AS year, o_orderpriority AS source, count(*) AS n FROM orders GROUP BY GROUPING SETS ((year(o_orderdate)), (o_orderpriority), ())")
+def ag10(spark, sf_dir):
+    table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) AS year", "o_orderpriority AS source").createOrReplaceTempView("dated")
+    return spark.sql("SELECT year, source, count(*) AS n FROM dated GROUP BY year, source GROUPING SETS ((year), (source), ())")
+
+
+@query("ag11_face_profile", oracle("v_faces", "SELECT least(c, 6) AS faces, count(*) AS photos FROM (SELECT doc_id, count(face_id) AS c FROM documents LEFT JOIN v_faces ON photo_id = doc_id GROUP BY 1) GROUP BY 1"))
+def ag11(spark, sf_dir):
+    faces = view(spark, sf_dir, "v_faces").groupBy(F.col("photo_id").alias("doc_id")).agg(F.count("*").alias("c"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(faces, "doc_id", "left").groupBy(F.least(F.coalesce("c", F.lit(0)), F.lit(6)).alias("faces")).agg(F.count("*").alias("photos"))
+
+
+@query("ag13_caption_profile", oracle("v_assets", "SELECT lang, count(*) AS n, round(avg(length(caption)), 4) AS mean_chars, max(length(caption)) AS longest, CAST(sum(repeated) AS BIGINT) AS repeated FROM (SELECT lang, caption, CASE WHEN count(*) OVER (PARTITION BY md5(caption)) > 1 THEN 1 ELSE 0 END AS repeated FROM v_assets) GROUP BY lang"))
+def ag13(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_assets").select("lang", F.md5("caption").alias("h"), F.length("caption").alias("chars"))
+    by_text = rows.groupBy("lang", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.max("chars").alias("longest"))
+    again = by_text.groupBy("h").agg(F.sum("n").alias("all"))
+    return by_text.join(again, "h").groupBy("lang").agg(F.sum("n").alias("n_"), F.round(F.sum("chars") / F.sum("n"), 4).alias("mean_chars"), F.max("longest").alias("longest"), F.sum(F.when(F.col("all") > 1, F.col("n")).otherwise(0)).alias("repeated")).withColumnRenamed("n_", "n")
+
+
+@query("ag14_completeness", oracle("v_assets", "SELECT f AS field, CAST(n AS BIGINT) AS present FROM (SELECT unnest(['caption', 'event_name', 'kind', 'person_id', 'quality']) AS f, unnest([count(caption), count(event_name), count(kind), count(person_id), count(quality)]) AS n FROM v_assets)"))
+def ag14(spark, sf_dir):
+    one = view(spark, sf_dir, "v_assets").agg(*(F.count(c).alias(c) for c in ("caption", "event_name", "kind", "person_id", "quality")))
+    return one.unpivot([], ["caption", "event_name", "kind", "person_id", "quality"], "field", "present")
+
+
+@query("ag15_expectations", "SELECT 'rows' AS rule, CASE WHEN count(*) > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM documents UNION ALL SELECT 'unique', CASE WHEN count(*) = count(DISTINCT doc_id) THEN 'PASS' ELSE 'FAIL' END FROM documents UNION ALL SELECT 'long', CASE WHEN avg(CASE WHEN n_chars > 500 THEN 1.0 ELSE 0 END) >= 0.95 THEN 'PASS' ELSE 'WARN' END FROM documents")
+def ag15(spark, sf_dir):
+    one = table(spark, sf_dir, "documents").agg((F.count("*") > 0).alias("rows"), (F.count("*") == F.countDistinct("doc_id")).alias("unique"), (F.avg(F.when(F.col("n_chars") > 500, 1.0).otherwise(0.0)) >= 0.95).alias("long"))
+    return one.unpivot([], ["rows", "unique", "long"], "rule", "ok").select("rule", F.when(F.col("ok"), "PASS").when(F.col("rule") == "long", "WARN").otherwise("FAIL").alias("status"))
+
+
+@query("ag16_persons_of_photos", oracle("v_faces", "SELECT photo_id, list_sort(list(DISTINCT person_id)) AS persons FROM v_faces WHERE person_id LIKE 'p%' GROUP BY 1"))
+def ag16(spark, sf_dir):
+    return view(spark, sf_dir, "v_faces").where("person_id like 'p%'").groupBy("photo_id").agg(F.sort_array(F.collect_set("person_id")).alias("persons"))
+
+
+@query("ag18_directory_tally", oracle("v_paths", "SELECT array_to_string(string_split(path, '/')[1:5], '/') AS dir, count(*) AS n FROM v_paths GROUP BY 1"))
+def ag18(spark, sf_dir):
+    return view(spark, sf_dir, "v_paths").groupBy(F.array_join(F.slice(F.split("path", "/"), 1, 5), "/").alias("dir")).agg(F.count("*").alias("n"))
+
+
+@query("ag19_cluster_people", oracle("v_faces", "SELECT label, person_id, n FROM (SELECT label, person_id, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, person_id) AS k FROM v_faces WHERE person_id IS NOT NULL GROUP BY 1, 2) WHERE k <= 3"))
+def ag19(spark, sf_dir):
+    counts = view(spark, sf_dir, "v_faces").where("person_id is not null").groupBy("label", "person_id").agg(F.count("*").alias("n"))
+    return counts.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "person_id"))).where("k <= 3").drop("k")
+
+
+@query("ag23_copy_collapse", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY coalesce(md5(text), CAST(doc_id AS VARCHAR)) ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n = 1")
+def ag23(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.coalesce(F.md5("text"), F.col("doc_id").cast("string")).alias("h")).agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id")).select("doc_id")
+
+
+@query("ag24_distinct_sets", oracle("v_assets", "SELECT coalesce(kind, 'photo') AS kind, count(*) AS n, count(DISTINCT folder) AS folders FROM v_assets GROUP BY 1"))
+def ag24(spark, sf_dir):
+    return view(spark, sf_dir, "v_assets").groupBy(F.coalesce("kind", F.lit("photo")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("folder").alias("folders"))
+
+
+@query("wn14_prunable_jobs", oracle("v_jobs", "SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY started_at DESC, job_id) AS n FROM v_jobs) WHERE n > 10 AND status <> 'running'"))
+def wn14(spark, sf_dir):
+    w = Window.partitionBy("kind").orderBy(F.desc("started_at"), "job_id")
+    return view(spark, sf_dir, "v_jobs").withColumn("n", F.row_number().over(w)).where("n > 10 and status <> 'running'").select("job_id")
+
+
+@query("wn15_job_progress", oracle("v_jobs", "SELECT job_id, round(100.0 * processed / total, 3) AS percent, round((updated_at - started_at) * (total - processed) / CAST(processed AS DOUBLE), 3) AS eta_s, status = 'running' AND 100000 - updated_at > 120 AS stale FROM v_jobs"))
+def wn15(spark, sf_dir):
+    return view(spark, sf_dir, "v_jobs").selectExpr("job_id", "CAST(round(100.0 * processed / total, 3) AS double) AS percent", "round((updated_at - started_at) * (total - processed) / CAST(processed AS DOUBLE), 3) AS eta_s", "status = 'running' AND 100000 - updated_at > 120 AS stale")
+
+
+@query("wn18_current_job", oracle("v_jobs", "SELECT kind, job_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY status = 'running' DESC, started_at DESC, job_id) AS n FROM v_jobs) WHERE n = 1"))
+def wn18(spark, sf_dir):
+    return view(spark, sf_dir, "v_jobs").groupBy("kind").agg(F.max_by("job_id", F.struct(F.col("status") == "running", "started_at", -F.col("job_id"))).alias("job_id"))
+
+
+WORDS = "SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS word FROM documents"
+
+
+@query(
+    "tx1_cluster_keywords",
+    f"""WITH w AS ({WORDS}), here AS (SELECT source, word, count(*) AS n FROM w GROUP BY 1, 2), sizes AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), every AS (SELECT word, sum(n) AS n_all FROM here GROUP BY 1), total AS (SELECT count(*) AS t FROM documents),
+    s AS (SELECT source, word, n / CAST(size AS DOUBLE) AS p, n / CAST(size AS DOUBLE) * ln((n / CAST(size AS DOUBLE)) / (n_all / CAST(t AS DOUBLE))) AS score FROM here JOIN sizes USING (source) JOIN every USING (word), total WHERE n >= 3 AND n * 20 >= size AND n_all * 5 <= t)
+    SELECT source, word, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, word DESC) AS k FROM s) WHERE k <= 5""",
+)
+def tx1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("word"))
+    here = words.groupBy("source", "word").agg(F.count("*").alias("n"))
+    sizes = docs.groupBy("source").agg(F.count("*").alias("size"))
+    total = sizes.agg(F.sum("size").alias("t"))  # one row
+    p = F.col("n") / F.col("size")
+    scored = here.join(here.groupBy("word").agg(F.sum("n").alias("n_all")), "word").join(sizes, "source").crossJoin(F.broadcast(total)).where("n >= 3 and n * 20 >= size and n_all * 5 <= t").withColumn("score", p * F.log(p / (F.col("n_all") / F.col("t"))))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.round("score", 9).desc(), F.desc("word")))
+    return scored.withColumn("k", rank).where("k <= 5").select("source", "word", F.round("score", 5).alias("score"))
+
+
+@query("tx9_cluster_samples", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) AS n FROM documents) WHERE n <= 8")
+def tx9(spark, sf_dir):
+    w = Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("n", F.row_number().over(w)).where("n <= 8").drop("n")
+
+
+@query("tx8_sensitive_lines", r"SELECT doc_id, line_no, kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents), (VALUES ('ip', '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'), ('card', '\b[0-9]{16}\b'), ('mail', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) r(kind, pattern) WHERE regexp_matches(line, pattern)".replace("doc_id, line_no, kind", "doc_id, CAST(line_no AS INT) AS line_no, kind", 1))
+def tx8(spark, sf_dir):
+    rules = {"ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "card": r"\b[0-9]{16}\b", "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    kinds = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), k) for k, p in rules.items())))
+    return lines.select("doc_id", (F.col("at") + 1).alias("line_no"), F.explode(kinds).alias("kind"))
+
+
+@query("wn17_title_disambiguation", "WITH c AS (SELECT label, count(*) AS n, concat('title ', CAST(label % 3 AS VARCHAR)) AS title FROM embeddings GROUP BY label) SELECT label, CASE WHEN row_number() OVER (PARTITION BY title ORDER BY n DESC, label) = 1 THEN title ELSE concat(title, ' ', CAST(label AS VARCHAR)) END AS title FROM c")
+def wn17(spark, sf_dir):
+    c = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("title", F.concat(F.lit("title "), (F.col("label") % 3).cast("string")))
+    first = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("n"), "label")) == 1
+    return c.select("label", F.when(first, F.col("title")).otherwise(F.concat("title", F.lit(" "), F.col("label").cast("string"))).alias("title"))
+
+
+@query("wn16_time_axis", "WITH y AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1) SELECT year, n, round(sum(pow(n, 0.4)) OVER (ORDER BY year) / sum(pow(n, 0.4)) OVER (), 6) AS upto FROM y")
+def wn16(spark, sf_dir):
+    y = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))  # a row for each year
+    w = F.pow("n", F.lit(0.4))
+    return y.select("year", "n", F.round(F.sum(w).over(Window.orderBy("year")) / F.sum(w).over(Window.partitionBy()), 6).alias("upto"))
+
+
+@query("sc7_map_export", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) AS x, dense_rank() OVER (ORDER BY label) - 1 AS cl FROM embeddings")
+def sc7(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    names = rows.select("label").distinct().withColumn("cl", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long"))  # the dictionary
+    return rows.join(names, "label").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("x"), "cl")

@@ -1,0 +1,107 @@
+"""Invariants on small literal rows."""
+
+from datetime import datetime, timedelta
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from medialake.functions import paths
+from medialake.operators import events, filters, vectors
+from medialake.operators.graph import connected_components
+from medialake.operators.rowwise import map_rows
+from medialake.sources import rules
+from medialake.streaming import jobs
+
+T0 = datetime(2024, 5, 1, 22, 0)
+
+
+def test_gap_boundary_and_midnight(spark):
+    steps = [0, 3 * 3600, 6 * 3600 + 1 + 3 * 3600, 50 * 3600]
+    rows = [(i, "a", T0 + timedelta(seconds=s)) for i, s in enumerate(steps)] + [(9, "a", None), (10, "b", T0)]
+    df = spark.createDataFrame(rows, "id long, channel string, t timestamp")
+    for parts in (1, 7):
+        got = sorted((r.channel, r.size) for r in events.gap_sessions(df.repartition(parts), "channel", "t", "id").collect())
+        assert got == [("a", 1), ("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_overlap_needs_half(spark):
+    e = spark.createDataFrame([("e1", "c", T0, T0 + timedelta(hours=10)), ("e2", "c", T0, T0)], "event_key string, channel string, start_at timestamp, end_at timestamp")
+    s = spark.createDataFrame([("short", "c", T0 + timedelta(hours=6), T0 + timedelta(hours=12)), ("other", "d", T0, T0 + timedelta(hours=12))], "name string, channel string, start_at timestamp, end_at timestamp")
+    assert events.overlapping(e, s).count() == 0
+    s = s.union(spark.createDataFrame([("long", "c", T0 - timedelta(hours=1), T0 + timedelta(hours=6))], s.schema))
+    assert sorted((r.event_key, r.name) for r in events.overlapping(e, s).collect()) == [("e1", "long"), ("e2", "long")]
+
+
+def test_query_tree(spark):
+    df = spark.createDataFrame([(1, "a", ["x"], None), (2, "b", ["y"], None), (3, "a", ["y"], T0)], "id long, folder string, tags array<string>, trashed_at timestamp")
+    cols = {"folder": "folder", "tag": "tags[]"}
+    tree = {"op": "or", "children": [{"field": "folder", "value": "a"}, {"field": "tag", "value": "y"}, {"field": "?", "value": 1}]}
+    assert [r.id for r in df.where(filters.visible(filters.tree(tree, cols))).orderBy("id").collect()] == [1, 2]
+    assert filters.tree({"op": "and", "children": [{"op": "or", "children": []}]}, cols) is None
+
+
+def test_path_rules(spark, tmp_path):
+    names = ["/p/Sent/IMG-20130713-WA0000.jpg", "/p/a/IMG-20130713-WA0000.jpg", "/p/Screenshot_2024.png", "/p/xIMG-20130713-WA0000.jpg", "", "/p/VID_20250509_173920_00_031.mp4", "/p/123456789012.jpg", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, path string")
+    got = {r.id: (r.c, r.d) for r in df.select("id", paths.channel(F.col("path")).alias("c"), paths.date_hint(F.col("path")).alias("d")).collect()}
+    assert [got[i][0] for i in range(5)] == ["sent", "whatsapp", "screenshot", "camera", "camera"]
+    assert (got[5][1], got[6][1], got[1][1]) == ("2025-05-09", None, "2013-07-13")
+    (tmp_path / "rules.txt").write_text("# all\n/p\n- /p/x\n\n")
+    assert sorted(tuple(r) for r in rules.path_rules(spark, str(tmp_path / "rules.txt")).collect()) == [("/p", True), ("/p/x", False)]
+    side = spark.createDataFrame([("/p", '{"type": "far"}'), ("/p/Sent", '{"type": "near"}'), ("/p/a", "{broken")], "dir string, body string")
+    near = {r.id: r.sidecar for r in rules.nearest_sidecar(df.where("id < 2"), "path", side).collect()}
+    assert near[0].type == "near" and (near[1] is None or near[1].type is None)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 160)] + [(200, 200), (None, 3)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(31)) and all(got[i] == 100 for i in range(100, 160)) and got[200] == 200
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_similar_pairs_and_linkage(spark):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(1, 16)) + 0.25 * r.normal(size=(12, 16)) for _ in range(6)])
+    x = np.concatenate([x, x[:3]])
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    got = {tuple(sorted((r.a, r.b))) for r in vectors.similar_pairs(df, "v", "id", 0.8, block=10).collect()}
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.8}
+    assert {p for p in want if p[1] < 72} <= got and {(0, 72), (1, 73), (2, 74)} <= got
+    label = {i: {i} for i in range(len(x))}
+    while True:  # plain average linkage over all rows
+        best = max(((np.mean([s[a, b] for a in p for b in q]), -i, -j) for i, p in label.items() for j, q in label.items() if i < j), default=(-1, 0, 0))
+        if best[0] < 0.8:
+            break
+        label[-best[1]] |= label.pop(-best[2])
+    found = {}
+    for row in vectors.average_linkage(df, "v", "id", 0.8).collect():
+        found.setdefault(row.cluster, set()).add(row.id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, label.values()))
+
+
+def test_bad_rows_stay_alone(spark):
+    df = spark.createDataFrame([(1, "4"), (2, "x"), (3, "6")], "id long, value string")
+    got = {r.id: (r.ok, r.result) for r in map_rows(df, "id", "value", lambda v: str(int(v) * 2)).collect()}
+    assert got == {1: (True, "8"), 2: (False, None), 3: (True, "12")}
+
+
+def test_streams(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(1, "a", T0, "x"), (2, "a", T0 + timedelta(hours=1), "x"), (3, "a", T0 + timedelta(hours=9), "y"), (4, "a", T0 + timedelta(days=9), "z")]
+    spark.createDataFrame(rows, "id long, channel string, t timestamp, body string").coalesce(1).write.parquet(src)
+    stream = lambda: spark.readStream.schema("id long, channel string, t timestamp, body string").parquet(src)
+
+    def result(df, name, mode="append"):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r["size"] for r in result(jobs.sessions(stream(), "channel", "t"), "s1")) == [1, 2]
+    assert sorted(r.id for r in result(jobs.unseen_content(stream(), "t", "body"), "s2"))[1:] == [3, 4]
+    assert [r.beats for r in result(jobs.heartbeats(stream(), "channel", "id"), "s3", "update")] == [4]
+    assert sorted(r["size"] for r in result(jobs.open_events(stream(), "channel", "t"), "s4")) == [1, 2]
+    jobs.incremental_ingest(stream().select("id", "body"), str(tmp_path / "out"), "id", ["body"], str(tmp_path / "s5")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
