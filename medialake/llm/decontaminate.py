@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word trigrams seed passages, Smith-Waterman alignment scores them.
 
 The benchmark is taken in blocks of bounded size. For each block one pass over the corpus counts in how many
-documents each of its trigrams occurs; the rarest trigrams of every item become its seeds. A second pass finds
+documents each of its trigrams occurs; of those that occur, the rarest of every item become its seeds. A second pass finds
 the seeds in every whole document, joins them to their items, and aligns the passage around hits on
 neighbouring diagonals with the item, so that edited and paraphrased copies score as well. No text is shuffled.
 """
@@ -195,7 +195,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_
     Returns ``doc_id, item_id, score, start_word, end_word, n_seeds``, the best alignment of each pair. ``score`` is
     the alignment's score over that of the whole item (or of its best part of 256 words); at least ``min_score`` is
     reported. Items of fewer than ``min_words`` words must occur word for word. Words are letters and digits, case
-    folded. An item's seeds are its rarest trigrams over all documents: a share of ``seed_share``, at least
+    folded. An item's seeds are its rarest trigrams over all documents, of those that occur: a share of ``seed_share``, at least
     ``least_seeds``; two of them on neighbouring diagonals (or its only one) lead to an alignment.
 
     The benchmark may have any size: it is taken in blocks of about ``block_words`` words, and only a block is
@@ -218,8 +218,10 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_
         counts = source.mapInArrow(_counter(keys, sizes, chunk_bytes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most the block's trigrams
         df = np.zeros(len(keys), np.int64)
         df[counts["key"].to_numpy(int)] = counts["n"].to_numpy(int)
-        order = np.lexsort((parts.place, df[spot], parts.part))
-        n = np.bincount(parts.part)
+        there = df[spot] > 0  # what occurs nowhere leads nowhere
+        parts = parts._replace(grams=parts.grams[there], part=parts.part[there], place=parts.place[there])
+        order = np.lexsort((parts.place, df[spot[there]], parts.part))
+        n = np.bincount(parts.part, minlength=len(parts.words))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(n.cumsum() - n, n)
         keep = rank < np.maximum(least_seeds, np.ceil(n * seed_share))[parts.part]
