@@ -119,11 +119,11 @@ def _able(x: Column, y: Column, percent: int) -> Column:
 
 
 def _crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int, pivots: int, rounds: int) -> DataFrame:
-    """All of ``links`` and what links the long lists' members (value, id, n, shared) to each other, as far as components need it."""
+    """Components (node, component) of ``links`` and of all links between the long lists' members (value, id, n, shared)."""
     pivoted = None
     me = F.struct("id", "component", "n", "shared")
+    known = stored(connected_components(links, "a", "b"), "components")
     for turn in range(rounds + 1):
-        known = connected_components(links, "a", "b")
         at = stored(crowded.join(known, F.col("id") == F.col("node"), "left").select("value", F.coalesce("component", "id").alias("component"), "id", "n", "shared").select("value", me.alias("x")), "crowd")
         # A list's main component is its largest; pairs within a component need no comparison.
         sizes = at.groupBy("value", F.col("x.component").alias("component")).agg(F.count("*").alias("size"), F.min("x.n").alias("n"))
@@ -146,8 +146,20 @@ def _crowded_links(crowded: DataFrame, links: DataFrame, classes: DataFrame, set
             mine = mine.select("x", F.filter("pivots", lambda y: (F.col("x.component") != y["component"]) & _able(F.col("x"), y, percent)).alias("pivots"))
             pairs = mine.select(F.col("x.id").alias("id"), F.explode(F.transform("pivots", lambda y: y["id"])).alias("pivot"))
         pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = links.union(stored(_linked(pairs, classes, sets, k, percent), "links"))
-    return links
+        known = _merged(known, stored(_linked(pairs, classes, sets, k, percent), "links"))
+    return known
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links, by the components of a graph of components."""
+    named = links
+    for side in "ab":
+        names = known.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        named = named.join(names, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    new = stored(connected_components(named.where("c_a <> c_b").select("c_a", "c_b").distinct(), "c_a", "c_b").withColumnsRenamed({"node": "was", "component": "is"}), "merged")
+    moved = known.join(new, F.col("component") == F.col("was"), "left").select("node", F.coalesce("is", "component").alias("component"))
+    single = new.join(known, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("is").alias("component"))
+    return stored(moved.union(single), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, listed: int = 40, short: int = 16, pivots: int = 24, rounds: int = 4, chunk_bytes: int = 4_000_000) -> DataFrame:
@@ -192,8 +204,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     ranked = long.join(hot.where("hot >= need").select("id", "hot"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("value")))
     crowded = stored(ranked.where("rank <= hot - need + 1").select("value", "id"), "crowded")
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().withColumnRenamed("a", "id")
+    wanted = stored(wanted, "wanted")
     sets = stored(source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_setter(shingle, chunk_bytes), "id long, shingles array<long>"), "sets")
-    links = stored(_linked(pairs, classes, sets, k, percent), "links")
+    # From here on only classes matter that stand in a pair or a long list.
+    sketches = stored(classes.join(wanted, "id", "left_semi"), "sketches")
+    links = stored(_linked(pairs, sketches, sets, k, percent), "links")
     crowded = stored(crowded.join(_shareable(sets.join(crowded.select("id").distinct(), "id", "left_semi"), percent), "id"), "crowded")
 
     # Classes of one document (an id that names several texts) belong together as well.
@@ -201,8 +216,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     first = stored(member.groupBy("doc_id").agg(F.min("id").alias("head"), F.max("id").alias("last")), "heads")
     if first.where("head <> last").limit(1).count():
         links = links.union(member.join(first.where("head <> last"), "doc_id").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
-    if hot.limit(1).count():
-        links = _crowded_links(crowded, links, classes, sets, k, percent, pivots, rounds)
-    found = connected_components(links, "a", "b").withColumnRenamed("node", "head")
+    found = _crowded_links(crowded, links, sketches, sets, k, percent, pivots, rounds).withColumnRenamed("node", "head")
     placed = first.select("doc_id", "head").join(found, "head", "left").select("doc_id", F.coalesce("component", "head").alias("component_id"))
     return drawn.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
