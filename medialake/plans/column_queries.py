@@ -19,33 +19,32 @@ def paths_query(name, spark_columns, sql_columns, where=None, sql_where=None):
 
     @query(name, oracle("v_paths", body))
     def run(spark, sf_dir):
-        rows = view(spark, sf_dir, "v_paths")
-        return (rows.where(where) if where is not None else rows).select("asset_id", *spark_columns)
+        rows, path = view(spark, sf_dir, "v_paths"), F.col("path")
+        return (rows.where(where(path)) if where else rows).select("asset_id", *spark_columns(path))
 
     return run
 
 
-path = F.col("path")
-paths_query("sc1_media_listing", [path, F.col("size")], "path, size", P.scannable(path, F.col("size")), "lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('mp4','mov','m4v','avi','mkv','3gp','mts','webm','jpg','jpeg','png','heic','webp','tif','tiff','cr2','gif','bmp') AND size >= 32")
-paths_query("sc8_prefix_scan", [path], "path", path.startswith("/mnt/photo/Fotos/") & path.contains("walk"), "starts_with(path, '/mnt/photo/Fotos/') AND contains(path, 'walk')")
+paths_query("sc1_media_listing", lambda path: [path, F.col("size")], "path, size", lambda path: P.scannable(path, F.col("size")), "lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('mp4','mov','m4v','avi','mkv','3gp','mts','webm','jpg','jpeg','png','heic','webp','tif','tiff','cr2','gif','bmp') AND size >= 32")
+paths_query("sc8_prefix_scan", lambda path: [path], "path", lambda path: path.startswith("/mnt/photo/Fotos/") & path.contains("walk"), "starts_with(path, '/mnt/photo/Fotos/') AND contains(path, 'walk')")
 paths_query(
-    "pr1_channel", [P.channel(path).alias("channel")],
+    "pr1_channel", lambda path: [P.channel(path).alias("channel")],
     f"CASE WHEN starts_with(lower({NAME}), 'screenshot') THEN 'screenshot' WHEN regexp_matches({NAME}, '^(IMG|VID|AUD)-[0-9]{{8}}-WA[0-9]+') THEN CASE WHEN contains(lower(path), '/sent/') THEN 'sent' ELSE 'whatsapp' END WHEN contains(lower(path), '/download/') THEN 'download' ELSE 'camera' END AS channel",
 )
-paths_query("pr2_kind", [P.kind(path).alias("kind")], "CASE WHEN lower(path) LIKE '%.mp4' THEN 'video' ELSE 'photo' END AS kind")
-paths_query("pr4_space", [P.space(path, ROOT).alias("space")], "split_part(path, '/', 4) AS space")
-paths_query("pr5_under_root", [P.under(P.collapsed(F.concat(path, F.lit("/../x/./y"))), "/mnt/photo/Fotos").alias("inside")], "starts_with(path, '/mnt/photo/Fotos/') AS inside")
-paths_query("pr6_album", [P.album(path).alias("album")], f"{ALBUM} AS album")
-paths_query("pr8_sequence", [P.sequence(path).alias("seq")], f"try_cast(regexp_extract({NAME}, '(?:IMG_|DSC_?|WA)([0-9]{{3,6}})(?:[^0-9]|$)', 1) AS INT) AS seq")
+paths_query("pr2_kind", lambda path: [P.kind(path).alias("kind")], "CASE WHEN lower(path) LIKE '%.mp4' THEN 'video' ELSE 'photo' END AS kind")
+paths_query("pr4_space", lambda path: [P.space(path, ROOT).alias("space")], "split_part(path, '/', 4) AS space")
+paths_query("pr5_under_root", lambda path: [P.under(P.collapsed(F.concat(path, F.lit("/../x/./y"))), "/mnt/photo/Fotos").alias("inside")], "starts_with(path, '/mnt/photo/Fotos/') AS inside")
+paths_query("pr6_album", lambda path: [P.album(path).alias("album")], f"{ALBUM} AS album")
+paths_query("pr8_sequence", lambda path: [P.sequence(path).alias("seq")], f"try_cast(regexp_extract({NAME}, '(?:IMG_|DSC_?|WA)([0-9]{{3,6}})(?:[^0-9]|$)', 1) AS INT) AS seq")
 paths_query(
-    "pr9_date_hint", [P.date_hint(path).alias("hint"), P.folder_year(path).alias("year")],
+    "pr9_date_hint", lambda path: [P.date_hint(path).alias("hint"), P.folder_year(path).alias("year")],
     f"CASE asset_id % 8 WHEN 6 THEN left({NAME}, 10) WHEN 3 THEN NULL WHEN 7 THEN NULL WHEN 4 THEN NULL ELSE regexp_replace(regexp_extract({NAME}, '((19|20)[0-9]{{6}})', 1), '(....)(..)(..)', '\\1-\\2-\\3') END AS hint, CASE WHEN asset_id % 8 = 4 THEN 2018 END AS year",
 )
-paths_query("pr36_rebase", [P.rebased(path, "/mnt/photo/Handys", "/data/phones").alias("path")], "CASE WHEN starts_with(path, '/mnt/photo/Handys/') THEN concat('/data/phones', substr(path, 18)) ELSE path END AS path")
-paths_query("pr39_generic_album", [P.generic(P.album(path)).alias("generic")], f"regexp_matches({ALBUM}, '(?i)^(src[0-9]|camera|dcim|download|new folder|whatsapp images|sent|[0-9]{{3}}[A-Z_]+)$') AS generic")
-paths_query("fl14_name_ok", [P.name_ok(P.file_name(path)).alias("ok")], "true AS ok")
-paths_query("pr34_identity", [F.sha2("path", 256).alias("uid")], "sha256(path) AS uid")
-paths_query("sc11_detail", [P.file_name(path).alias("file_name"), P.suffix(path).alias("suffix"), P.folder(path).alias("folder"), F.coalesce(F.nullif(F.col("size"), F.lit(0)), F.lit(-1)).alias("size")], f"{NAME} AS file_name, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS suffix, {DIRS} AS folder, coalesce(nullif(size, 0), -1) AS size")
+paths_query("pr36_rebase", lambda path: [P.rebased(path, "/mnt/photo/Handys", "/data/phones").alias("path")], "CASE WHEN starts_with(path, '/mnt/photo/Handys/') THEN concat('/data/phones', substr(path, 18)) ELSE path END AS path")
+paths_query("pr39_generic_album", lambda path: [P.generic(P.album(path)).alias("generic")], f"regexp_matches({ALBUM}, '(?i)^(src[0-9]|camera|dcim|download|new folder|whatsapp images|sent|[0-9]{{3}}[A-Z_]+)$') AS generic")
+paths_query("fl14_name_ok", lambda path: [P.name_ok(P.file_name(path)).alias("ok")], "true AS ok")
+paths_query("pr34_identity", lambda path: [F.sha2("path", 256).alias("uid")], "sha256(path) AS uid")
+paths_query("sc11_detail", lambda path: [P.file_name(path).alias("file_name"), P.suffix(path).alias("suffix"), P.folder(path).alias("folder"), F.coalesce(F.nullif(F.col("size"), F.lit(0)), F.lit(-1)).alias("size")], f"{NAME} AS file_name, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS suffix, {DIRS} AS folder, coalesce(nullif(size, 0), -1) AS size")
 
 
 @query("pr3_common_root", oracle("v_paths", "SELECT '/mnt/photo' AS root, count(*) AS n FROM v_paths"))
@@ -61,7 +60,7 @@ def pr3(spark, sf_dir):
 @query("sc9_scan_preview", oracle("v_paths", "SELECT CASE WHEN starts_with(path, '/mnt/photo/Fotos/src1/') THEN '/mnt/photo/Fotos/src1' WHEN starts_with(path, '/mnt/photo/Fotos/') THEN '/mnt/photo/Fotos' ELSE '/mnt/photo' END AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM v_paths GROUP BY 1"))
 def sc9(spark, sf_dir):
     roots = ["/mnt/photo/Fotos/src1", "/mnt/photo/Fotos", "/mnt/photo"]  # longest first
-    root = F.coalesce(*(F.when(P.under(path, r), r) for r in roots))
+    root = F.coalesce(*(F.when(P.under(F.col("path"), r), r) for r in roots))
     return view(spark, sf_dir, "v_paths").groupBy(root.alias("root")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
@@ -69,7 +68,7 @@ def sc9(spark, sf_dir):
 def fl9(spark, sf_dir):
     rules = spark.createDataFrame([("/mnt/photo/Fotos", True), ("/mnt/photo/Fotos/src3", False)], "root string, include boolean")
     rows = view(spark, sf_dir, "v_paths")
-    hit = rows.select("asset_id", "path").join(F.broadcast(rules), path.startswith(F.concat("root", F.lit("/"))), "left")  # a rule list is a parameter
+    hit = rows.select("asset_id", "path").join(F.broadcast(rules), F.col("path").startswith(F.concat("root", F.lit("/"))), "left")  # a rule list is a parameter
     return hit.groupBy("asset_id").agg((F.coalesce(F.max(F.col("include")), F.lit(False)) & ~F.coalesce(F.max(~F.col("include")), F.lit(False))).alias("covered"))
 
 
@@ -129,4 +128,4 @@ def pr12(spark, sf_dir):
 def pr29(spark, sf_dir):
     d = F.col("size") / 1000.0
     offsets = F.when(d < 3, F.array(F.round(d / 2, 3))).otherwise(F.transform(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), lambda x: F.round(d * x, 3)))
-    return view(spark, sf_dir, "v_paths").where(P.kind(path) == "video").select("asset_id", F.sort_array(F.array_distinct(offsets)).alias("offsets"))
+    return view(spark, sf_dir, "v_paths").where(P.kind(F.col("path")) == "video").select("asset_id", F.sort_array(F.array_distinct(offsets)).alias("offsets"))
