@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     drawn = stored(source.mapInArrow(_sketcher(shingle, k, chunk_bytes), "doc_id long, n_shingles long, set_id binary, sketch array<long>"), "sketches")
     known = drawn.where("set_id is not null and doc_id is not null")
     heads = known.select("doc_id", "set_id").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-    # A class is its smallest document; other documents of it, exact copies, leave (without a shuffle of sketches where they are few).
+    # A class is its smallest document; other documents of it, exact copies, leave. Here and for the texts below the join is a
+    # merge at every size, so that small inputs show what large ones will cost.
     copies = stored(known.select("doc_id", "set_id").join(heads, "set_id").where("doc_id <> id").select("doc_id", "set_id"), "copies")
-    classes = known.join(copies, ["doc_id", "set_id"], "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    classes = known.join(copies.hint("merge"), ["doc_id", "set_id"], "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
     need = F.least(F.lit(sure(listed, percent / 100)), F.ceil(F.col("n") * percent / 100))
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))  # sizes that allow a link differ by at most one step
     entries = classes.select(F.explode(F.slice("sketch", 1, listed)).alias("value"), "id", need.alias("need"), step.alias("step")).distinct()
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     crowded = stored(ranked.where("rank <= hot - need + 1").select("value", "id"), "crowded")
     wanted = pairs.select("a").union(pairs.select("b")).union(crowded.select("id")).distinct().withColumnRenamed("a", "id")
     wanted = stored(wanted, "wanted")
-    sets = stored(source.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_setter(shingle, chunk_bytes), "id long, shingles array<long>"), "sets")
+    sets = stored(source.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi").mapInArrow(_setter(shingle, chunk_bytes), "id long, shingles array<long>"), "sets")
     # From here on only classes matter that stand in a pair or a long list.
     sketches = stored(classes.join(wanted, "id", "left_semi"), "sketches")
     links = stored(_linked(pairs, sketches, sets, k, percent), "links")
