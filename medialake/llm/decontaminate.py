@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare word trigrams seed passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word trigrams seed passages, Smith-Waterman alignment scores them.
 
-The benchmark is taken in blocks of bounded size. For each block one pass over the corpus counts in how many
-documents each of its trigrams occurs; of those that occur, the rarest of every item become its seeds. A second pass finds
+The benchmark is taken in blocks of bounded size. For each block one pass over the corpus finds which of its
+trigrams occur; each of those is a seed, so that no copy hides the trigrams of another. A second pass finds
 the seeds in every whole document, joins them to their items, and aligns the passage around hits on
 neighbouring diagonals with the item, so that edited and paraphrased copies score as well. No text is shuffled.
 """
@@ -88,15 +88,12 @@ def _hits(words: np.ndarray, first: np.ndarray, find, sizes: list[int]) -> tuple
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def _counter(keys: np.ndarray, sizes: list[int], size: int):
+def _occurring(keys: np.ndarray, sizes: list[int], size: int):
     def run(batches):
-        find, total = _lookup(keys), np.zeros(len(keys), np.int64)
+        find, there = _lookup(keys), np.zeros(len(keys), bool)
         for table in chunks(batches, "text", size):
-            words, first = hashed(table.column("text"))
-            row, _, k = _hits(words, first, find, sizes)
-            total += np.bincount(np.unique(row * len(keys) + k) % len(keys), minlength=len(keys)) if len(k) else 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["key", "n"])
+            there[_hits(*hashed(table.column("text")), find, sizes)[2]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there))], names=["key"])
 
     return run
 
@@ -133,20 +130,27 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("n_seeds", pa.int64())])
 
 
+def _slices(row: np.ndarray, times: np.ndarray, most: int = 1_000_000):
+    """Cuts hits, sorted by text, into runs of whole texts of about ``most`` postings."""
+    ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1 if len(row) else []
+    at, total = 0, np.append(0, times.cumsum())
+    for k, end in enumerate(ends):
+        if k == len(ends) - 1 or total[ends[k + 1]] - total[at] > most:
+            yield slice(at, end)
+            at = end
+
+
 def _aligner(shared, sizes: list[int], min_score: float, min_words: int, size: int):
     def run(batches):
         parts, keys, from_, to = shared.value
         find = _lookup(keys)
         lengths = np.array([len(x) for x in parts.words])
         seeds_of = np.bincount(parts.part, minlength=len(lengths))
-        for table in chunks(batches, "text", size):
-            words, first = hashed(table.column("text"))
-            row, at, k = _hits(words, first, find, sizes)
+
+        def aligned(table, words, first, row, at, k):
             times = to[k] - from_[k]
             post = np.arange(times.sum()) + np.repeat(from_[k] - (times.cumsum() - times), times)
             row, at, part, place = np.repeat(row, times), np.repeat(at, times), parts.part[post], parts.place[post]
-            if not len(row):
-                continue
             diagonal = at - place
             o = np.lexsort((place, diagonal, part, row))
             row, at, part, place, diagonal = (x[o] for x in (row, at, part, place, diagonal))
@@ -156,7 +160,7 @@ def _aligner(shared, sizes: list[int], min_score: float, min_words: int, size: i
             good = n >= np.minimum(2, seeds_of[part[cuts]])
             cuts, ends, n = cuts[good], ends[good], n[good]
             if not len(cuts):
-                continue
+                return None
             r, p = row[cuts], part[cuts]
             slack = lengths[p] // 4 + 4
             lo = np.maximum(0, diagonal[cuts] - slack)
@@ -164,17 +168,29 @@ def _aligner(shared, sizes: list[int], min_score: float, min_words: int, size: i
             lo, hi = lo + first[r], hi + first[r]
             order = np.lexsort((hi - lo, lengths[p]))
             score, start, end = (np.zeros(len(order), np.int64) for _ in range(3))
-            for x in range(0, len(order), 128):
+            x = 0
+            while x < len(order):
                 g = order[x : x + 128]
+                g = g[: max(1, 500_000 // int((hi - lo)[g].max()))]  # wide passages in smaller groups
+                x += len(g)
                 score[g], start[g], end[g] = align([parts.words[y] for y in p[g]], [words[a:b] for a, b in zip(lo[g], hi[g], strict=True)])
             share = score / (MATCH * lengths[p])
             ok = np.flatnonzero((share >= min_score) & ((lengths[p] >= min_words) | (share >= 1)))
             if not len(ok):
-                continue
+                return None
             ids = table.column("doc_id").to_pylist()
             base = lo - first[r]
             cols = [[ids[x] for x in r[ok]], parts.item[p[ok]], share[ok], (base + start)[ok], (base + end)[ok], n[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
+
+        for table in chunks(batches, "text", size):
+            words, first = hashed(table.column("text"))
+            row, at, k = _hits(words, first, find, sizes)
+            o = np.argsort(row, kind="stable")
+            row, at, k = row[o], at[o], k[o]
+            for x in _slices(row, to[k] - from_[k]):
+                if (found := aligned(table, words, first, row[x], at[x], k[x])) is not None:
+                    yield found
 
     return run
 
@@ -189,14 +205,14 @@ def _worder(size: int):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_words: int = 8, seed_share: float = 0.5, least_seeds: int = 8, block_words: int = 1_000_000, chunk_bytes: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_words: int = 8, block_words: int = 1_000_000, chunk_bytes: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, exactly or edited.
 
     Returns ``doc_id, item_id, score, start_word, end_word, n_seeds``, the best alignment of each pair. ``score`` is
     the alignment's score over that of the whole item (or of its best part of 256 words); at least ``min_score`` is
     reported. Items of fewer than ``min_words`` words must occur word for word. Words are letters and digits, case
-    folded. An item's seeds are its rarest trigrams over all documents, of those that occur: a share of ``seed_share``, at least
-    ``least_seeds``; two of them on neighbouring diagonals (or its only one) lead to an alignment.
+    folded. An item's seeds are all its trigrams that occur in any document; two of them on neighbouring diagonals (or
+    its only one) lead to an alignment.
 
     The benchmark may have any size: it is taken in blocks of about ``block_words`` words, and only a block is
     collected and broadcast. Null or empty texts, on either side, match nothing; null ids come back as null;
@@ -215,16 +231,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_
         parts = _parts([(r["item_id"] if r["item_id"] is not None else -1, np.frombuffer(r["words"], np.uint64)) for r in rows])
         sizes = sorted({min(GRAM, len(w)) for w in parts.words})
         keys, spot = np.unique(parts.grams, return_inverse=True)
-        counts = source.mapInArrow(_counter(keys, sizes, chunk_bytes), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most the block's trigrams
-        df = np.zeros(len(keys), np.int64)
-        df[counts["key"].to_numpy(int)] = counts["n"].to_numpy(int)
-        there = df[spot] > 0  # what occurs nowhere leads nowhere
-        parts = parts._replace(grams=parts.grams[there], part=parts.part[there], place=parts.place[there])
-        order = np.lexsort((parts.place, df[spot[there]], parts.part))
-        n = np.bincount(parts.part, minlength=len(parts.words))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(n.cumsum() - n, n)
-        keep = rank < np.maximum(least_seeds, np.ceil(n * seed_share))[parts.part]
+        there = np.zeros(len(keys), bool)
+        there[source.mapInArrow(_occurring(keys, sizes, chunk_bytes), "key long").distinct().toPandas()["key"].to_numpy(int)] = True  # at most the block's trigrams
+        keep = there[spot]  # what occurs nowhere leads nowhere
         seeds = parts._replace(grams=parts.grams[keep], part=parts.part[keep], place=parts.place[keep])
         keys, from_ = np.unique(seeds.grams, return_index=True)
         shared = spark.sparkContext.broadcast((seeds, keys, from_, np.append(from_[1:], len(seeds.grams))))

@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from medialake.llm import html_extract
-from medialake.llm.decontaminate import align, contaminated
+from medialake.llm.decontaminate import _slices, align, contaminated
 from medialake.llm.language_id import identify
 from medialake.llm.near_dedup import near_duplicates, sure
 from medialake.llm.packing import pack, plan_patterns
@@ -169,6 +169,22 @@ def test_contamination(spark):
     assert contaminated(frame(spark, []).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "every"), [(40, 5), (40, 4), (12, 4), (300, 5)])
+def test_contamination_by_an_edited_copy_beside_exact_ones(spark, n, every):
+    r = random.Random(n)
+    item = " ".join(f"{r.choice(WORDS)}{k}" for k in range(n))  # its trigrams occur nowhere else
+    edited = " ".join(f"other{k}" if k % every == every - 1 else w for k, w in enumerate(item.split()))
+    docs = [(1, item), (2, prose(r, 30) + " " + edited + " " + prose(r, 30)), (3, prose(r, 60)), (4, "x " + item + " y")]
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(frame(spark, docs), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got.keys() == {(1, 7), (2, 7), (4, 7)} and got[1, 7] == got[4, 7] == 1 and 0.4 <= got[2, 7] < 1
+
+
+def test_postings_are_cut_between_texts():
+    row, times = np.array([0, 0, 1, 4, 4, 4, 5]), np.array([3, 3, 1, 9, 9, 9, 1])
+    assert [(x.start, x.stop) for x in _slices(row, times, 7)] == [(0, 3), (3, 6), (6, 7)]
+    assert list(_slices(row[:0], times[:0])) == []
+
+
 def test_languages(spark):
     r = random.Random(2)
     made = {"aa": ["thon", "ere", "wha", "ing"], "bb": ["eau", "oui", "que", "ç"], "cc": ["ung", "sch", "ö", "keit"]}
