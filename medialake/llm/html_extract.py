@@ -31,8 +31,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 UNSEEN = frozenset("head script style noscript template svg select option button textarea iframe object canvas title datalist".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 STRUCTURE = frozenset("nav header footer aside form article main section search dialog menu address details fieldset".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head"}}
-KEEP_IN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}, "select": {"select"}, "input": {"select"}, "textarea": {"select"}}
+KEEP_IN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select", "datalist"}}
+# Unseen elements that an item or cell around them doesn't reach into; controls hold no item or cell of the list or table around them.
+WALLS = UNSEEN - {"select", "option", "button", "datalist"}
+# What a head may hold, and what ends an unclosed svg.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+NOT_SVG = STRUCTURE | frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>|<[!?/][^>]*>|<[A-Za-z/!?][^>]*\Z""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|data-main)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -77,9 +82,16 @@ def _attributes(tag: str, text: str) -> tuple[list[str], str | None]:
 
 
 def parse(html: str) -> list[Node]:
-    """The page's nodes, parents before children, in page order. Tolerates unclosed, misnested and cut-off markup."""
+    """The page's nodes, parents before children, in page order. Tolerates unclosed, misnested and cut-off markup.
+
+    Elements that aren't seen, and what they hold, are on the stack of open elements as well, without nodes: an end tag
+    of an outer element ends them, a new option, button or select ends the open one, what a head can't hold ends the
+    head, and HTML's own blocks end an svg. As in browsers, an unclosed script, style, textarea, title or iframe
+    takes all that follows.
+    """
     nodes = [Node(-1, "", ["block "])]
-    stack, run, at, drop, linked, in_link = [0], [], 0, 0, 0, False
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its node (or that around it), whether it is unseen
+    run, at, linked, in_link = [], 0, 0, False
 
     def flush():
         nonlocal run, linked
@@ -87,17 +99,31 @@ def parse(html: str) -> list[Node]:
             text = " ".join(unescape("".join(run)).split())
             if text:
                 link = min(len(text), linked)
-                nodes.append(Node(stack[-1], "", [f"size {_size(len(text))}", f"links {_share(link, len(text))}", f"ends {bool(_ENDS.search(text))}"], text, None, len(text), link))
+                nodes.append(Node(stack[-1][1], "", [f"size {_size(len(text))}", f"links {_share(link, len(text))}", f"ends {bool(_ENDS.search(text))}"], text, None, len(text), link))
             run, linked = [], 0
 
+    def close(names, within=()) -> bool:
+        """Ends the nearest open element of these names, and all inside it, unless one of ``within`` comes first."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in within:
+                return False
+            if stack[k][0] in names:
+                flush()
+                del stack[k:]
+                return True
+        return False
+
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
         upto = m.start() if m else end
-        if upto > at and not drop:
-            run.append(html[at:upto])
-            if in_link:
-                linked += upto - at
+        if upto > at:
+            if stack[-1][0] == "head" and not html[at:upto].isspace():
+                stack.pop()
+            if not stack[-1][2]:
+                run.append(html[at:upto])
+                if in_link:
+                    linked += upto - at
         if not m:
             break
         at = m.end()
@@ -109,55 +135,56 @@ def parse(html: str) -> list[Node]:
                 in_link = False
             if tag in INLINE or tag in VOID:
                 continue
-            if tag in UNSEEN:
-                drop = max(0, drop - 1)
-                continue
-            if drop:
-                continue
+            if not close({tag}) and tag == "p" and not stack[-1][2]:
+                flush()
+            continue
+        alone = (m[3] or m[6] or "").endswith("/")
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
+        if stack[-1][2]:
+            in_svg = False
             for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    flush()
-                    del stack[k:]
+                if stack[k][0] in ("foreignobject", "desc"):  # holds HTML
                     break
-            else:
-                if tag == "p":
-                    flush()
-            continue
+                if stack[k][0] == "svg":
+                    in_svg = True
+                    break
+            if in_svg and tag in NOT_SVG:
+                del stack[k:]
+            elif in_svg and alone:
+                continue
+            if tag == "body":
+                while stack[-1][2]:
+                    stack.pop()
+        if tag in CLOSES:  # an item ends the item before it, up to their list or table
+            close(CLOSES[tag], WALLS.union(KEEP_IN.get(tag, ())))
         if tag in UNSEEN:
             flush()
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
-            elif not (m[3] or m[6] or "").endswith("/"):
-                drop += 1
-            continue
-        if tag == "body":
-            drop = 0
-        if drop:
+                ending = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                at = ending.end() if ending else end
+            elif not alone:
+                stack.append((tag, stack[-1][1], True))
             continue
-        if tag == "a":
+        unseen = stack[-1][2]
+        if tag == "a" and not unseen:
             in_link = True
-        if tag == "br":
+        if tag == "br" and not unseen:
             run.append(" ")
         if tag in INLINE:
             continue
         flush()
         if tag in VOID:
             continue
-        in_link = False
-        if nodes[stack[-1]].tag == "p":
+        if stack[-1][0] == "p":
             stack.pop()
-        if tag in CLOSES:  # an item ends the item before it, up to their list or table
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]].tag
-                if name in KEEP_IN.get(tag, ()):
-                    break
-                if name in CLOSES[tag]:
-                    del stack[k:]
-                    break
+        if unseen:
+            stack.append((tag, stack[-1][1], True))
+            continue
+        in_link = False
         features, mark = _attributes(tag, m[3] or m[6] or "")
-        nodes.append(Node(stack[-1], tag, features, None, mark))
-        stack.append(len(nodes) - 1)
+        nodes.append(Node(stack[-1][1], tag, features, None, mark))
+        stack.append((tag, len(nodes) - 1, False))
     flush()
     for n in reversed(nodes):
         if n.parent >= 0:

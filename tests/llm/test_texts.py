@@ -217,6 +217,46 @@ def test_extraction_on_held_out_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<form><select><option>A<option>B</select>more</form><article><p>One.</article>", ["more", "One."]),
+        ("<form><select><optgroup label=x><option>A<optgroup><option>B</select></form><p>One.", ["One."]),
+        ("<select><option>A</option><option selected>B</select><p>One.", ["One."]),
+        ("<form><select><option>A</form><p>One.", ["One."]),
+        ("<form><select><option>A<input name=q></form><p>One.", ["One."]),
+        ("<ul><li><select><option>A<li>Two</ul><p>One.", ["Two", "One."]),
+        ("<table><tr><td><select><option>A<td>Two</table>One.", ["Two", "One."]),
+        ("<select><option>A<select><option>B</select><p>One.", ["One."]),
+        ("<datalist id=x><option>A<option>B</datalist><p>One.", ["One."]),
+        ("<html><head><title>T</title><meta name=x><link rel=y><article><p>One.</p></article>", ["One."]),
+        ("<html><head><title>T</title><style>p{}</style><script>'<p>'</script>One. <b>Two.</b><p>Three.", ["One. Two.", "Three."]),
+        ("<head><noscript><img src=x></noscript><title>T</title><a href=1>One.</a>", ["One."]),
+        ("<head><title>T</title></head><body><p>One.", ["One."]),
+        ("<head><title>T</title><noscript><p>No</p></noscript><body><p>One.</body>", ["One."]),
+        ("<div><button>Go</div><p>One.", ["One."]),
+        ("<div><button>Go<button>Stop</button> x</div><p>One.", ["x", "One."]),
+        ("<div><svg viewBox='0 0 1 1'><g><path d='M0 0'/><title/></div><p>One.", ["One."]),
+        ("<svg><g><path d=x></path><text>a</text><p>One.<p>Two.", ["One.", "Two."]),
+        ("<svg><foreignObject><p>a</p></foreignObject><text>b</text></svg><p>One.", ["One."]),
+        ("<svg/><p>One.", ["One."]),
+        ("<div><noscript><img src=1></div><p>One.", ["One."]),
+        ("<div><noscript><div>No</noscript>Two</div><p>One.", ["Two", "One."]),
+        ("<div><template><div>No</div>no</template>Two</div><p>One.", ["Two", "One."]),
+        ("<table><tr><td>Two<template><tr><td>No</template></table><p>One.", ["Two", "One."]),
+        ("<p>a<canvas><p>No</p>no</canvas>b</p></select></option>c", ["a", "b", "c"]),
+    ],
+)
+def test_unseen_elements_end(html, want):
+    assert [n.text for n in html_extract.parse(html) if n.text is not None] == want
+
+
+def test_article_after_a_form_without_end_tags(spark):
+    pages = [(1, "u", "<body><nav><form><select><option>English<option>Deutsch</select></form></nav><article><h1>T</h1><p>One two three.</article></body>"), (2, "u", "<html><head><title>t</title><meta charset=utf-8><article><h1>T</h1><p>One two three.</p></article>")]
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "T\nOne two three.", 2: "T\nOne two three."}
+
+
 def test_marginals_are_exact():
     nodes = html_extract.parse("<div class=nav><a href=1>x</a></div><main><p>Some words are here.</p><div class=comment>No.</div></main>")
     counts = Counter()
