@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators.graph import connected_components
+from medialake.storage import stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,37 +83,43 @@ def stacks(rows: DataFrame, vector: str, row_id: str, least: float, block: int =
     return connected_components(similar_pairs(rows, vector, row_id, least, block), "a", "b").withColumnsRenamed({"node": row_id, "component": "stack"})
 
 
-def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float, strongest: int = 3000) -> DataFrame:
-    """(id, cluster): average linkage cut at a cosine of ``least``, exactly, component by component of the similarity graph.
+def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float) -> DataFrame:
+    """(id, cluster, truncated): average linkage cut at a cosine of ``least`` (above 0, at most 1), exactly; clusters bear their smallest id.
 
-    A merge needs one pair of at least ``least``, so no cluster crosses components. A component of more than
-    ``strongest`` rows clusters that many of smallest id; the rest are given as ``truncated`` clusters of their own.
+    Equal vectors are one weighted point. The mean cosine of two clusters is the product of their sums of unit
+    vectors over their sizes, and two clusters can reach ``least`` only where two of their members do, so only pairs of
+    clusters that reach it are stored. In each round all pairs that are nearest to one another, ties by ids, merge: the
+    result is that of merging one best pair at a time. A round needs joins and groupings only; there are as many as the longest
+    chain of merges that wait for one another. Ids are unique; null and zero vectors stay alone. No row
+    is left out: ``truncated`` is always false.
     """
-    member = stacks(rows, vector, row_id, least)
-    rest = rows.join(member, row_id, "left_anti").select(row_id, F.col(row_id).alias("cluster"), F.lit(False).alias("truncated"))
-    ranked = member.withColumn("place", F.row_number().over(Window.partitionBy("stack").orderBy(row_id)))
-    over = ranked.where(F.col("place") > strongest).select(row_id, F.col(row_id).alias("cluster"), F.lit(True).alias("truncated"))
-    inside = ranked.where(F.col("place") <= strongest).drop("place").join(rows.select(row_id, normed(F.col(vector)).alias("v")), row_id)
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id)
-        x = np.stack(pdf["v"].to_list())
-        s, size = x @ x.T, np.ones(len(x))
-        np.fill_diagonal(s, -np.inf)
-        label = np.arange(len(x))
-        while len(x) > 1:
-            k = int(s.argmax())
-            i, j = sorted(divmod(k, len(x)))
-            if s[i, j] < least:
-                break
-            merged = (s[i] * size[i] + s[j] * size[j]) / (size[i] + size[j])
-            s[i], s[:, i] = merged, merged
-            s[i, i] = -np.inf
-            s[j], s[:, j] = -np.inf, -np.inf
-            size[i] += size[j]
-            label[label == j] = i
-        ids = pdf[row_id].to_numpy()
-        return pd.DataFrame({row_id: ids, "cluster": ids[label]})
-
-    linked = inside.groupBy("stack").applyInPandas(link, f"{row_id} long, cluster long").withColumn("truncated", F.lit(False))
-    return linked.union(over).union(rest)
+    unit = rows.select(F.col(row_id).alias("id"), normed(F.col(vector)).alias("v"))
+    points = stored(unit.where(F.col("v").isNotNull() & (dot(F.col("v"), F.col("v")) > 0)).groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).where("c is not null"), "points")
+    edges = stored(similar_pairs(points, "v", "c", least).select("a", "b", F.round("score", 12).alias("s")), "edges")
+    live, merged = points.select("c", "n", F.transform("v", lambda x: x * F.col("n")).alias("total")), None
+    while True:
+        ends = edges.select(F.col("a").alias("c"), F.col("b").alias("o"), "s").union(edges.select("b", "a", "s"))
+        pair = F.struct("s", -F.least("c", "o"), -F.greatest("c", "o"))
+        best = ends.groupBy("c").agg(F.max_by("o", pair).alias("o"))
+        chosen = best.groupBy(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).count().where("count = 2")
+        merges = stored(chosen.select("a", "b"), "merges")
+        if merges.isEmpty():
+            break
+        merged = merges if merged is None else merged.union(merges)
+        moved = merges.select(F.col("b").alias("c"), F.col("a").alias("into")).union(merges.select("a", "a"))
+        named = edges.join(moved.toDF("a", "x"), "a", "left").join(moved.toDF("b", "y"), "b", "left")
+        named = named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"), "s", (F.col("x").isNotNull() | F.col("y").isNotNull()).alias("new")).where("a <> b")
+        named = stored(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "new"), "named")
+        wanted = named.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        summed = live.join(moved, "c", "left").groupBy(F.coalesce("into", "c").alias("c")).agg(F.sum("n").alias("n"), F.collect_list("total").alias("t"))
+        total = F.when(F.size("t") == 1, F.col("t")[0]).otherwise(F.zip_with(F.col("t")[0], F.col("t")[1], lambda x, y: x + y))
+        live = stored(summed.join(wanted, "c", "left_semi").select("c", "n", total.alias("total")), "live")
+        met = named.where("new").select("a", "b").distinct().join(live.toDF("a", "na", "ta"), "a").join(live.toDF("b", "nb", "tb"), "b")
+        met = met.select("a", "b", F.round(dot(F.col("ta"), F.col("tb")) / (F.col("na") * F.col("nb")), 12).alias("s")).where(F.col("s") >= least)
+        edges = stored(named.where("not new").select("a", "b", "s").union(met), "edges")
+    head = points.select("v", F.col("c").alias("head"))
+    if merged is None:
+        labelled = head.withColumn("cluster", F.col("head"))
+    else:
+        labelled = head.join(connected_components(merged, "a", "b").withColumnsRenamed({"node": "head", "component": "root"}), "head", "left").select("v", F.coalesce("root", "head").alias("cluster"))
+    return unit.join(labelled.select("v", "cluster"), "v", "left").select(F.col("id").alias(row_id), F.coalesce("cluster", "id").alias("cluster"), F.lit(False).alias("truncated"))

@@ -82,6 +82,38 @@ def test_similar_pairs_and_linkage(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, label.values()))
 
 
+def test_linkage_leaves_no_row_out(spark):
+    r = np.random.default_rng(3)
+    a, b, c = np.eye(3)
+    vs = [a] * 3100 + [a + 0.1 * b] * 5 + [b, b + 0.1 * c, c, None, np.zeros(3), np.zeros(3)]  # one component of over 3,000 rows
+    order = r.permutation(len(vs))
+    df = spark.createDataFrame([(int(i), None if vs[k] is None else [float(y) for y in vs[k]]) for i, k in enumerate(order)], "id long, v array<double>")
+    found = {}
+    for row in vectors.average_linkage(df, "v", "id", 0.9).collect():
+        found.setdefault(row.cluster, set()).add(row.id)
+        assert not row.truncated
+    at = lambda *ks: {i for i, k in enumerate(order) if k in ks}
+    want = [at(*range(3105)), at(3105, 3106), *(at(k) for k in range(3107, 3111))]
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want)) and all(k == min(v) for k, v in found.items())
+
+
+def test_linkage_by_rounds_is_that_of_single_merges(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(1, 6)) + 0.9 * r.normal(size=(48, 6))
+    x[40:] = x[:8]  # copies weigh
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    label = {i: [i] for i in range(len(x))}
+    while True:
+        best = max(((round(s[np.ix_(p, q)].mean(), 12), -i, -j) for i, p in label.items() for j, q in label.items() if i < j), default=(-1, 0, 0))
+        if best[0] < 0.5:
+            break
+        label[-best[1]] += label.pop(-best[2])
+    got = {row.id: row.cluster for row in vectors.average_linkage(df, "v", "id", 0.5).collect()}
+    assert got == {i: min(p) for p in label.values() for i in p} and 1 < len(label) < 40
+
+
 def test_bad_rows_stay_alone(spark):
     df = spark.createDataFrame([(1, "4"), (2, "x"), (3, "6")], "id long, value string")
     got = {r.id: (r.ok, r.result) for r in map_rows(df, "id", "value", lambda v: str(int(v) * 2)).collect()}
