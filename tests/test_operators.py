@@ -1,5 +1,6 @@
 """Invariants on small literal rows."""
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -114,6 +115,24 @@ def test_linkage_by_rounds_is_that_of_single_merges(spark):
     assert got == {i: min(p) for p in label.values() for i in p} and 1 < len(label) < 40
 
 
+def test_tokens_are_resolved_in_three_tiers(spark):
+    people = [("p1", "Anna Berg"), ("p2", "Bo Annan"), ("p3", "Hanna-Lee"), ("p4", "Li"), ("xy", "Zoë #12"), ("p6", None)]
+    tokens = ["anna berg", "P2", "ann", "an", "b", "li", "l", "nn", "erg", "annal", "na-l", "ë", "12", "q", "zzz", "", None, "ERG", "a b", "p"]
+    want = set()
+    for t in tokens:
+        tiers = {1: set(), 2: set(), 3: set()}
+        for i, n in people:
+            n, f = (n or "").lower(), (t or "").lower()
+            if f:
+                tiers[1] |= {i} if f in (n, i) else set()
+                tiers[2] |= {i} if any(w.startswith(f) for w in [n, i, *re.split(r"[\s#-]+", n)]) else set()
+                tiers[3] |= {i} if f in n else set()
+        k = next((k for k in tiers if tiers[k]), None)
+        want |= {(t, i, k) for i in tiers[k]} if k else {(t, None, None)}
+    got = filters.resolved(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame(people, "id string, name string")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want)) and {k for *_, k in want} == {1, 2, 3, None}
+
+
 def test_bad_rows_stay_alone(spark):
     df = spark.createDataFrame([(1, "4"), (2, "x"), (3, "6")], "id long, value string")
     got = {r.id: (r.ok, r.result) for r in map_rows(df, "id", "value", lambda v: str(int(v) * 2)).collect()}
