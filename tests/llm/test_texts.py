@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from medialake.llm import html_extract
 from medialake.llm.decontaminate import _slices, align, contaminated
 from medialake.llm.language_id import identify
-from medialake.llm.near_dedup import near_duplicates, sure
+from medialake.llm.near_dedup import _grid, near_duplicates, sure
 from medialake.llm.packing import pack, plan_patterns
 from medialake.llm.substring_dedup import remove_repeats
 
@@ -63,14 +64,25 @@ def plain_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("short", "pivots", "rounds"), [(16, 24, 4), (2, 1, 1)])
-def test_near_duplicates(spark, docs, short, pivots, rounds):
-    got = near_duplicates(frame(spark, docs), shingle=4, short=short, pivots=pivots, rounds=rounds).collect()
+@pytest.mark.parametrize(("short", "pivots", "rounds", "exact"), [(16, 8, 2, False), (2, 1, 1, False), (2, 1, 0, True)])
+def test_near_duplicates(spark, docs, short, pivots, rounds, exact):
+    got = near_duplicates(frame(spark, docs), shingle=4, short=short, pivots=pivots, rounds=rounds, exact=exact).collect()
     want = plain_components(docs, 4, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("columns", [3, 8192])
+def test_blocks_of_sets_against_plain_sets(columns):
+    r = random.Random(columns)
+    sets = [sorted(r.sample(range(30), r.randint(1, 12))) for _ in range(60)]
+    rows = [(k, k % 7, k % 2 == 0, x) for k, x in enumerate(sets)]
+    table = pa.table({"id": [x[0] for x in rows], "component": [x[1] for x in rows], "asks": [x[2] for x in rows], "shingles": pa.array([x[3] for x in rows], pa.list_(pa.int64()))})
+    found = _grid(50, columns)(table)
+    want = {(min(i, j), max(i, j)) for i, c, asks, x in rows for j, d, other, y in rows if asks and not other and c != d and 100 * len({*x} & {*y}) >= 50 * len({*x} | {*y})}
+    assert set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)) == want
+
+
 def test_near_duplicates_edges(spark):
     assert near_duplicates(frame(spark, []).limit(0)).count() == 0
     rows = near_duplicates(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]), shingle=4).collect()
