@@ -8,8 +8,9 @@ pieces of that length.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,63 @@ def atoms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
+class Encoder:
+    """A tokenizer's ids of many words at once; words that keep their length when normalised are encoded as running text."""
+
+    def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.bytes_of[k] = len(token.removesuffix(suffix))  # byte-level tokens have a letter for each byte
+
+    def _plain(self, words: list[bytes]) -> np.ndarray:
+        """Words of ASCII and Latin-1 letters only, without what may spell a special token."""
+        data, offsets = np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words]))
+        odd = (data >= 0xC0) & (data != 0xC3) | np.isin(data, [0, ord("<"), ord("|"), ord(">")])
+        sums = np.append(0, odd.cumsum())
+        return sums[offsets[1:]] == sums[offsets[:-1]]
+
+    def __call__(self, words: list[bytes], each: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and each word's number of ids."""
+        plain = self._plain(words)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+        for k in range(0, len(at), each):
+            part = at[k : k + each]
+            text = b" ".join([words[x] for x in part.tolist()]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum([len(words[x]) for x in part.tolist()])
+            sums = self.bytes_of[ids].cumsum()
+            to = np.searchsorted(sums, ends)
+            if len(ids) and to[-1] == len(ids) - 1 and (sums[to] == ends).all():
+                out.append((part, np.diff(to, prepend=-1), ids))
+            else:
+                rest.append(part)
+        rest = np.concatenate(rest)
+        if len(rest):
+            lists = [x.ids for x in self.tokenizer.encode_batch_fast([words[x].decode() for x in rest], add_special_tokens=False)]
+            out.append((rest, np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(chain.from_iterable(lists), np.int32)))
+        order, long, ids = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        counts = np.zeros(len(words), np.int64)
+        counts[order] = long
+        from_ = long.cumsum() - long
+        place = np.zeros(len(words), np.int64)
+        place[order] = from_
+        return ids[np.arange(len(ids)) + np.repeat(place - (counts.cumsum() - counts), counts)], counts
+
+
 class WordIds:
-    """Token ids of words, remembered in a hash table of bounded size that whole arrays of words are looked up in."""
+    """Token ids of words, remembered in a hash table of bounded size that whole arrays of words are looked up in.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], slots: int = 1 << 20):
+    Words are told apart by 64 bits of a hash.
+    """
+
+    def __init__(self, encode: Encoder, slots: int = 1 << 21):
         self.encode, self.slots = encode, slots
         self.clear()
 
@@ -66,11 +120,9 @@ class WordIds:
             left, slot = left[go], (slot[go] + np.uint64(1)) & self.mask
         return out
 
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        lists = self.encode(words)
-        long = np.fromiter(map(len, lists), np.int32, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(long.sum()))
-        n, used = self.n + len(lists), self.used + len(flat)
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        flat, long = self.encode(words)
+        n, used = self.n + len(words), self.used + len(flat)
         grown = lambda a, m: a if m <= len(a) else np.concatenate([a, np.zeros(max(m, 2 * len(a)) - len(a), a.dtype)])
         self.at, self.long, self.ids = grown(self.at, n), grown(self.long, n), grown(self.ids, used)
         self.at[self.n : n] = self.used + np.append(0, long.cumsum()[:-1])
@@ -100,19 +152,21 @@ class WordIds:
             raw = data.tobytes()
             for k in range(0, len(new), 1 << 15):
                 part = slice(k, k + (1 << 15))
-                self.learn(new[part], [raw[a:b].decode() for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)])
+                self.learn(new[part], [raw[a:b] for a, b in zip(starts[first[part]].tolist(), ends[first[part]].tolist(), strict=True)])
             known = self.find(hashes)
         long = self.long[known].astype(np.int64)
         cuts = long.cumsum()
         return self.ids[np.arange(cuts[-1] if len(cuts) else 0) + np.repeat(self.at[known] - (cuts - long), long)], long
 
 
+_learned: dict[str, WordIds] = {}  # one table in a worker process, kept from task to task
+
+
 def _piecer(tokenizer_file: str, capacity: int, end_id: int, keep_ids: bool, size: int):
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        table_of = WordIds(lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        if tokenizer_file not in _learned:
+            _learned[tokenizer_file] = WordIds(Encoder(tokenizer_file))
+        table_of = _learned[tokenizer_file]
         for table in chunks(batches, "text", size):
             data, offsets = utf8(table.column("text"))
             data, starts, ends, first = atoms(data, offsets)
@@ -139,61 +193,92 @@ def _piecer(tokenizer_file: str, capacity: int, end_id: int, keep_ids: bool, siz
     return run
 
 
-def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths descending) that use up all pieces of ``counts`` (length -> number).
+class Sums:
+    """Available lengths, and an index of their sums: how many pairs of available lengths add up to each sum.
 
-    Longest first: a gap left by the longest piece is filled exactly by one length, by a pair, or by a triple of
-    lengths still available, each found by its sum; a combination is used as often as its counts allow. What has
-    no exact complement is set aside, and packed by best fit decreasing into the open sequences.
+    A triple for a gap is an available length whose remainder is an indexed pair sum.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    patterns: list[tuple[int, tuple[int, ...]]] = []
 
-    def complement(gap: int) -> tuple[int, ...] | None:
-        if gap <= capacity and left[gap]:
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
+        have = (self.left > 0).astype(np.float64)
+        ordered = np.rint(np.fft.irfft(np.fft.rfft(have, 4 * capacity) ** 2, 4 * capacity)[: capacity + 1]).astype(np.int64)
+        lengths = np.arange(capacity // 2 + 1)
+        ordered[2 * lengths] -= have[lengths].astype(np.int64)  # a length with itself counts only if it is there twice
+        self.pairs = ordered // 2
+        self.pairs[2 * lengths] += self.left[lengths] > 1
+
+    def put(self, length: int, n: int) -> None:
+        """Sets how many are left of a length."""
+        was, self.left[length] = int(self.left[length]), n
+        if (was > 0) != (n > 0):
+            others = np.flatnonzero(self.left[: max(0, len(self.left) - length)])
+            self.pairs[others[others != length] + length] += 1 if n else -1
+        if (was > 1) != (n > 1) and 2 * length < len(self.pairs):
+            self.pairs[2 * length] += 1 if n > 1 else -1
+
+    def pair(self, gap: int) -> tuple[int, int]:
+        """The pair of an indexed sum with the longest piece."""
+        have = self.left[1:gap] > 0
+        both = have & have[::-1]
+        if gap % 2 == 0 and self.left[gap // 2] < 2:
+            both[gap // 2 - 1] = False
+        a = int(np.flatnonzero(both)[-1]) + 1
+        return a, gap - a
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap exactly."""
+        if self.left[gap]:
             return (gap,)
-        have = left[: gap + 1] > 0
-        pair = have[1:gap] & have[1:gap][::-1]
-        if gap % 2 == 0 and left[gap // 2] < 2:
-            pair[gap // 2 - 1] = False
-        if (at := np.flatnonzero(pair)).size:
-            a = int(at[-1]) + 1
-            return (a, gap - a)
-        for a in np.flatnonzero(have[: gap - 1])[::-1].tolist():
+        if self.pairs[gap]:
+            return self.pair(gap)
+        longest = np.flatnonzero((self.left[:gap] > 0) & (self.pairs[gap:0:-1] > 0))[::-1]
+        for a in longest.tolist():
             if 3 * a < gap:
                 break
-            left[a] -= 1
-            rest = gap - a
-            ok = (left[1:rest] > 0) & (left[1:rest][::-1] > 0)
-            if rest % 2 == 0 and left[rest // 2] < 2:
-                ok[rest // 2 - 1] = False
-            left[a] += 1
-            if (at := np.flatnonzero(ok)).size:
-                b = int(at[-1]) + 1
-                return (a, b, rest - b)
+            n = int(self.left[a])
+            self.put(a, n - 1)
+            found = self.pair(gap - a) if self.pairs[gap - a] else None
+            self.put(a, n)
+            if found:
+                return (a, *found)
         return None
 
+
+def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of sequences, lengths descending) that use up all pieces of ``counts`` (length -> number).
+
+    Longest first: a gap left by the longest piece is filled exactly by one length, by a pair, or by a triple of
+    lengths still available, found in an index of their sums; a combination is used as often as its counts allow.
+    What has no exact complement is set aside, and packed by best fit decreasing into the open sequences.
+    """
+    sums = Sums(counts, capacity)
+    left, put = sums.left, sums.put
+    patterns: list[tuple[int, tuple[int, ...]]] = []
+
     aside = np.zeros(capacity + 1, np.int64)
     for length in range(capacity, 0, -1):
         while left[length]:
+            n = int(left[length])
             if length == capacity:
-                patterns.append((int(left[length]), (length,)))
-                left[length] = 0
+                patterns.append((n, (length,)))
+                put(length, 0)
                 break
-            left[length] -= 1
-            fill = complement(capacity - length)
-            left[length] += 1
+            put(length, n - 1)
+            fill = sums.complement(capacity - length)
+            put(length, n)
             if fill is None:
-                aside[length], left[length] = left[length], 0
+                aside[length] = n
+                put(length, 0)
                 break
             uses: dict[int, int] = {}
             for x in (length, *fill):
                 uses[x] = uses.get(x, 0) + 1
             times = min(int(left[x]) // k for x, k in uses.items())
             for x, k in uses.items():
-                left[x] -= k * times
+                put(x, int(left[x]) - k * times)
             patterns.append((times, tuple(sorted((length, *fill), reverse=True))))
 
     open_: dict[int, list[list]] = {}  # gap -> [[number, lengths], ...]
@@ -265,12 +350,14 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int
     letters, digits and signs and fold case, as public word-level BPE files do; tests hold it against whole texts.
 
     Null or empty text: one piece that is ``end_id`` alone. Null or repeated ``doc_id``: each row is a document of
-    its own. Empty table: empty result. ``split`` is the number of parts a length's pieces are ranked in, so that
-    a length that a third of all pieces share is no single task.
+    its own. Empty table: empty result. ``split`` is the least number of parts a length's pieces are ranked in, so that
+    a length that a third of all pieces share is no single task; a part has about 100,000 pieces at most. Words are told
+    apart by 64 bits of a hash.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_piecer(tokenizer_file, capacity, end_id, keep_ids, chunk_bytes), schema), "pieces")
+    split = max(split, pieces.count() // 100_000 + 1)
     pieces = pieces.withColumn("part", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {split})").cast("int"))
     counts = stored(pieces.groupBy("length", "part").count(), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``capacity`` rows
