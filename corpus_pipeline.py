@@ -19,39 +19,59 @@ from medialake.llm.packing import pack
 from medialake.storage import stored
 
 LEAST_SCORE = 1 / 3
+ROW = "_row_of_stage"
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id isn't in ``gone``, which is written first: if its size allows, Spark broadcasts it and no text moves."""
-    return docs.join(stored(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number of its own in ``ROW``: the id where every row has one of its own, else a stored numbering."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("count > 1 or doc_id is null").limit(1).count():
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return docs.withColumn(ROW, F.col("doc_id").cast("long"))
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """What operators see: the row number as id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text", "lang")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose number isn't in ``gone``, which is written first: if its size allows, Spark broadcasts it and no text moves."""
+    return rows.join(stored(gone.select(F.col("doc_id").alias(ROW)).distinct(), "gone"), ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those of which no language holds a third."""
-    found = identify(docs)
-    return _without(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)))
+    """Rejects documents without a letter (null and empty texts as well), and those of which no language holds a third.
+
+    Decided for each row, whatever its id. If no row has a language and a text, nothing can be learned and all rows stay.
+    """
+    if not docs.where("lang is not null and text is not null").limit(1).count():
+        return docs
+    rows = _rows(docs)
+    found = identify(_asked(rows))
+    return _without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group of near copies: five-word shingles, a similarity of 0.8; of rows with one id, one."""
-    kept = _without(docs, near_duplicates(docs, shingle=5, percent=80).where("not kept"))
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    """Keeps one document of each group of near copies, the one with the smallest id (or the first row, where ids are null or
+    repeated): five-word shingles, a similarity of 0.8. Null and empty texts have no copies and stay; repeated rows are copies."""
+    rows = _rows(docs)
+    return _without(rows, near_duplicates(_asked(rows), shingle=5, percent=80).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, word for word or edited."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Drops each row whose text holds a benchmark item, word for word or edited. Null and empty texts hold none and stay."""
+    rows = _rows(docs)
+    return _without(rows, contaminated(_asked(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces each secret by a mark that names its kind; documents stay."""
+    """Replaces each secret by a mark that names its kind; all rows stay, null and empty texts as they are. Equal texts are scanned once."""
     _, ledger = secrets.scan(docs)
-    findings = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    found = stored(findings, "found")
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    return docs.withColumn("blob", blob).join(found, "blob", "left").withColumn("text", secrets.redacted(F.col("text"), F.col("found"))).select(docs.columns)
+    findings = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("_found_of_stage"))
+    found = stored(findings.withColumnRenamed("blob", "_blob_of_stage"), "found")
+    redacted = secrets.redacted(F.col("text"), F.col("_found_of_stage"))
+    return docs.withColumn("_blob_of_stage", secrets.address(F.col("text"))).join(found, "_blob_of_stage", "left").withColumn("text", redacted).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
