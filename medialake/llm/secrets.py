@@ -67,42 +67,58 @@ def empty_ledger(spark) -> DataFrame:
     return spark.createDataFrame([], "blob binary, kind string, version int, found array<struct<begin:int,rank:int,finish:int,kind:string>>")
 
 
-def addressed(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each (path, version) row with the SHA-256 of its text (null: of the empty text)."""
-    return versions.select(F.col(path).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+def address(text: Column) -> Column:
+    """The SHA-256 of a text (null: of the empty text)."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", version: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scans what the ledger lacks; returns the findings of all paths and the grown ledger.
 
-    Findings: one row for each row of ``versions``, with ``path``, ``blob`` and ``found`` (spans by begin, then by
-    the rules' order; empty if none). The ledger has a row for each (blob, rule kind, rule version). A rule with a
-    new version is scanned again in all blobs; rows of old versions stay and are not reported.
+    ``versions`` has a row for each version of each path; ``version`` names a column that tells them apart, if there is
+    one. Findings: one row for each row of ``versions``, with ``path``, ``version`` (if named), ``blob`` and ``found``
+    (spans by begin, then by the rules' order; empty if none). The ledger has a row for each (blob, rule kind, rule
+    version), and is a stored table that a later run takes. A rule with a new version is scanned again in all blobs;
+    rows of old versions stay and are not reported.
 
-    Null or empty text is the empty blob, without findings. Null paths and repeated rows come back as they are. An
-    empty table gives no findings and leaves the ledger as it is. Other columns are ignored.
+    Places and addresses decide what is scanned; texts move only where what is not to be scanned is too much to
+    broadcast. Null or empty text is the empty blob, without findings. Null paths and repeated rows come back as they
+    are. An empty table gives no findings and leaves the ledger as it is. Other columns are ignored.
     """
     spark = versions.sparkSession
-    rows = addressed(versions, path, text)
-    first = ledger is None
-    ledger = empty_ledger(spark) if first else ledger
-    places = rows.select("path", "blob")
-    distinct = rows.select("blob", "body").dropDuplicates(["blob"])
-    if first:
-        todo = distinct.withColumn("known", F.array().cast("array<string>"))
-    else:
+    key = [F.col(path).alias("path")] + ([F.col(version).alias("version_")] if version else [])
+    names = ["path"] + (["version_"] if version else [])
+    places = stored(versions.select(*key, address(F.col(text)).alias("blob")), "places")
+    # A blob is scanned where it stands first.
+    first = places.groupBy("blob").agg(F.min(F.struct(*names)).alias("first"))
+    others = places.join(first, "blob").where(~F.struct(*names).eqNullSafe(F.col("first"))).select("blob", *names)
+    known = None
+    if ledger is not None:
         current = ledger.join(F.broadcast(rules_table(spark, rules)), ["kind", "version"], "left_semi")  # as many rows as rules
         known = current.groupBy("blob").agg(F.collect_set("kind").alias("known"))  # at most one entry for each rule
-        todo = distinct.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))).where(F.size("known") < len(rules))
+        over = known.where(F.size("known") == len(rules)).select("blob")
+        others = others.union(places.join(over, "blob", "left_semi").select("blob", *names))
+    others = stored(others.distinct().select(F.col("blob").alias("blob_"), *(F.col(x).alias(f"{x}_") for x in names)), "elsewhere")
+    bodies = versions.select(*key, address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    same = F.col("blob") == F.col("blob_")
+    for x in names:
+        same = same & F.col(x).eqNullSafe(F.col(f"{x}_"))
+    todo = bodies.join(others, same, "left_anti")
+    none = F.array().cast("array<string>")
+    if known is not None:
+        todo = todo.join(known.where(F.size("known") < len(rules)), "blob", "left").withColumn("known", F.coalesce("known", none))
+    else:
+        todo = todo.withColumn("known", none)
     unseen = [
         F.when(~F.array_contains("known", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _spans(F.col("body"), r, k).alias("found"))) for k, r in enumerate(rules)
     ]
-    fresh = stored(todo.select("blob", F.explode(F.filter(F.array(*unseen), lambda x: x.isNotNull())).alias("x")).select("blob", "x.*"), "ledger")
-    grown = fresh if first else ledger.select("blob", "kind", "version", "found").union(fresh)
-    current = grown if first else grown.join(F.broadcast(rules_table(spark, rules)), ["kind", "version"], "left_semi")
+    fresh = todo.select("blob", F.explode(F.filter(F.array(*unseen), lambda x: x.isNotNull())).alias("x")).select("blob", "x.*")
+    fresh = stored(fresh.dropDuplicates(["blob", "kind"]), "ledger")  # a row that is repeated as it is
+    grown = fresh if ledger is None else ledger.select("blob", "kind", "version", "found").union(fresh)
+    current = fresh if ledger is None else grown.join(F.broadcast(rules_table(spark, rules)), ["kind", "version"], "left_semi")
     by_blob = current.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
     found = places.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<begin:int,rank:int,finish:int,kind:string>>")))
-    return found.select("path", "blob", "found"), grown
+    return found.select("path", *([F.col("version_").alias("version")] if version else []), "blob", "found"), grown
 
 
 def spelled(found: Column) -> Column:

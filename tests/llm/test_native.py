@@ -71,6 +71,17 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.scan(new.limit(0), ledger)[0].count() == 0
 
 
+def test_ledger_keeps_versions_of_paths(spark):
+    rows = [("a", 1, "token=abcdefgh"), ("a", 2, "plain"), ("a", 3, "token=abcdefgh"), ("b", 1, "token=abcdefgh"), (None, None, "plain"), ("b", 2, None)]
+    found, ledger = secrets.scan(spark.createDataFrame(rows, "doc_id string, v int, text string"), version="v")
+    assert ledger.count() == 3 * len(secrets.RULES) and ledger.where("size(found) > 0").count() == 1
+    got = sorted((r.path or "", r.version or 0, [(x.kind, x.begin, x.finish) for x in r.found]) for r in found.collect())
+    hit = [("assign", 0, 14)]
+    assert got == [("", 0, []), ("a", 1, hit), ("a", 2, []), ("a", 3, hit), ("b", 1, hit), ("b", 2, [])]
+    again, same = secrets.scan(spark.createDataFrame([("c", 1, "plain"), ("c", 2, "secret=zzzzzz")], "doc_id string, v int, text string"), ledger, version="v")
+    assert same.count() == 4 * len(secrets.RULES) and sorted(len(r.found) for r in again.collect()) == [0, 1]
+
+
 def shards_hold(rows, texts, shards=8):
     assert len(rows) == len(texts)
     by = {}

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from medialake.llm import secrets
 
@@ -30,9 +32,9 @@ def test_stages(spark, tmp_path):
     docs = pipeline.language_id(spark, docs, sf)
     assert ids(docs) == [-1, 0, 1, 4, 5, 6, 7, 7]
     docs = pipeline.near_dedup(spark, docs, sf)
-    assert ids(docs) == [-1, 0, 4, 5, 6, 7]
+    assert ids(docs) == [-1, 0, 4, 5, 6, 7, 7]  # one id, two texts: both stay
     docs = pipeline.decontamination(spark, docs, sf)
-    assert ids(docs) == [-1, 0, 5, 6, 7]
+    assert ids(docs) == [-1, 0, 5, 6, 7, 7]
     docs = pipeline.secret_scan(spark, docs, sf)
     text = {r.doc_id: r.text for r in docs.collect()}
     assert sorted(map(str, text)) == ["0", "5", "6", "7", "None"] and text[0] == long
@@ -42,6 +44,28 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == {None, 0, 5, 6, 7} and len([r for r in packed if r.doc_id == 6]) > 1
 
 
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    item = prose(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [prose(40) for _ in range(4)]
+    rows = [(None, "12 34"), (None, texts[0]), (7, "12 34"), (7, texts[1]), (7, texts[2] + " " + item), (7, texts[1]), (8, texts[3] + " token=abcdefgh1"), (9, None), (9, "")]
+    docs = frame(spark, rows).selectExpr("*", "'b' as blob", "1 as found", "2 as `count`", "3 as component_id")
+    docs = pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in docs.collect()) == sorted([texts[0], texts[1], texts[1], texts[2] + " " + item, texts[3] + " token=abcdefgh1"])
+    docs = pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in docs.collect()) == sorted([texts[0], texts[1], texts[2] + " " + item, texts[3] + " token=abcdefgh1"])
+    docs = pipeline.decontamination(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in docs.collect()) == sorted([texts[0], texts[1], texts[3] + " token=abcdefgh1"])
+    docs = pipeline.secret_scan(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in docs.collect()) == sorted([texts[0], texts[1], texts[3] + " [assign]"])
+    assert {(r.blob, r.found, r["count"], r.component_id) for r in docs.collect()} == {("b", 1, 2, 3)}
+
+
+def test_nothing_to_learn_from(spark):
+    docs = frame(spark, [(1, prose(20)), (2, None)]).withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language_id(spark, docs, "").count() == 2
+
+
 def test_redaction_of_overlaps(spark):
     df = spark.createDataFrame([(1, "a token=" + "0123456789abcdef" * 2 + " é hex " + "f" * 30)], "doc_id long, text string")
     found, _ = secrets.scan(df)
