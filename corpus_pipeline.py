@@ -67,7 +67,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a mark that names its kind; all rows stay, null and empty texts as they are. Equal texts are scanned once."""
-    _, ledger = secrets.scan(docs)
+    _, ledger = secrets.scan(docs, hint=None)  # texts are distinct by now
     findings = ledger.where(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("_found_of_stage"))
     found = stored(findings.withColumnRenamed("blob", "_blob_of_stage"), "found")
     redacted = secrets.redacted(F.col("text"), F.col("_found_of_stage"))
