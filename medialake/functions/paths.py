@@ -64,7 +64,7 @@ def under(path: Column, root: str) -> Column:
 
 def space(path: Column, root: str) -> Column:
     """The first level below ``root``; ``?`` for files in it or elsewhere."""
-    rest = F.split(F.substring(path, len(root.rstrip("/")) + 2, 10_000), "/")
+    rest = F.split(F.substring(path, F.lit(len(root.rstrip("/")) + 2), F.length(path)), "/")
     return F.when(under(path, root) & (F.size(rest) > 1), rest[0]).otherwise("?")
 
 
@@ -78,7 +78,7 @@ def album(path: Column) -> Column:
 
 def rebased(path: Column, old: str, new: str) -> Column:
     """``old`` replaced by ``new`` at the start of paths below it."""
-    return F.when(under(path, old), F.concat(F.lit(new.rstrip("/")), F.substring(path, len(old.rstrip("/")) + 1, 10_000))).otherwise(path)
+    return F.when(under(path, old), F.concat(F.lit(new.rstrip("/")), F.substring(path, F.lit(len(old.rstrip("/")) + 1), F.length(path)))).otherwise(path)
 
 
 def date_hint(path: Column) -> Column:

@@ -28,7 +28,13 @@ def verdicts(rows: DataFrame, old: Column, new: Column) -> DataFrame:
 
 
 def collision_free(rows: DataFrame, folder: str, name: str, row_id: str) -> DataFrame:
-    """``target`` names in a folder: later rows of one name get ``-1``, ``-2`` before the suffix."""
-    n = F.row_number().over(Window.partitionBy(folder, name).orderBy(row_id)) - 1
+    """``target`` names in a folder: later rows of one name get the least free ``-1``, ``-2`` before the suffix; no target is there twice."""
     stem, dot = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_n", n).withColumn("target", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), dot))).drop("_n")
+    numbered = r"^(.*)-([1-9][0-9]{0,8})$"
+    taken = rows.select(F.col(folder).alias("_folder"), stem.alias("_stem"), dot.alias("_dot")).distinct().where(F.col("_stem").rlike(numbered))
+    taken = taken.groupBy("_folder", F.concat(F.regexp_extract("_stem", numbered, 1), "_dot").alias("_name")).agg(F.array_sort(F.collect_set(F.regexp_extract("_stem", numbered, 2).cast("int"))).alias("_taken"))
+    n = F.row_number().over(Window.partitionBy(folder, name).orderBy(row_id)) - 1
+    met = rows.withColumn("_n", n).join(taken, F.col(folder).eqNullSafe(F.col("_folder")) & (F.col(name) == F.col("_name")), "left")
+    # The n-th number that isn't taken.
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    return met.withColumn("target", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("-"), free.cast("string"), dot))).drop("_n", "_taken", "_folder", "_name")

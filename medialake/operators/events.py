@@ -22,13 +22,14 @@ def gap_session_starts(df: DataFrame, key: str, ts: str, row_id: str, gap_s: int
     inside = Window.partitionBy(key, "_day").orderBy(ts, row_id)
     days = rows.groupBy(key, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
     across = Window.partitionBy(key).orderBy("_day")
-    days = days.withColumn("_before", F.lag("_last").over(across)).select(key, "_day", "_before")
-    rows = rows.join(days, [key, "_day"]).withColumn("_before", F.coalesce(F.lag(ts).over(inside), "_before"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_on"))  # rows without a key are one key's
+    days = days.withColumn("_before", F.lag("_last").over(across)).select(F.col(key).alias("_key"), F.col("_day").alias("_on"), "_before")
+    rows = rows.join(days, same).drop("_key", "_on").withColumn("_before", F.coalesce(F.lag(ts).over(inside), "_before"))
     new = F.col("_before").isNull() | (seconds(F.col(ts)) - seconds(F.col("_before")) > gap_s)
     rows = rows.withColumn("_start", F.when(new, F.col(ts)))
     last = rows.groupBy(key, "_day").agg(F.max("_start").alias("_carried"))
     last = last.withColumn("_carried", F.last("_carried", True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(last, [key, "_day"])
+    rows = rows.join(last.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), "_carried"), same).drop("_key", "_on")
     start = F.coalesce(F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_carried")
     return rows.withColumn("session_start", start).drop("_day", "_before", "_start", "_carried")
 

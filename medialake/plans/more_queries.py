@@ -1,6 +1,8 @@
 """Registered queries over boxes, clusters, runs of sessions and listings."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import geometry as G
@@ -74,9 +76,9 @@ def tx7(spark, sf_dir):
 def vc12(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("v", V.normed(c("embedding").cast("array<double>")))
     concepts = V.centroids(rows, "label", "v").withColumnRenamed("label", "tag")
-    if concepts.count() > 20_000:
-        raise ValueError("more concepts than a broadcast should hold; tag them in parts")
-    scored = rows.select("vec_id", "v").join(F.broadcast(concepts), F.lit(True)).select("vec_id", "tag", F.exp(10 * V.cosine(c("v"), c("centroid"))).alias("e"))
+    parts = -(-concepts.count() // 20_000) or 1  # so many concepts are broadcast at once
+    met = [rows.select("vec_id", "v").join(F.broadcast(concepts.where(F.pmod(F.xxhash64("tag"), F.lit(parts)) == k)), F.lit(True)) for k in range(parts)]
+    scored = reduce(DataFrame.union, met).select("vec_id", "tag", F.exp(10 * V.cosine(c("v"), c("centroid"))).alias("e"))
     share = scored.withColumn("p", c("e") / F.sum("e").over(Window.partitionBy("vec_id")))
     return share.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("p"), "tag"))).where("k <= 5 and p >= 0.12").select("vec_id", "tag", F.round("p", 5).alias("p"))
 

@@ -18,9 +18,10 @@ def path_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nearest_sidecar(rows: DataFrame, path: str, sidecars: DataFrame, levels: int = 3) -> DataFrame:
-    """``rows`` with the parsed JSON of the nearest of their parent directories' sidecars (dir, body); malformed JSON is null."""
-    parts = F.split(path, "/")
-    up = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - k, F.lit(0))), "/").alias("dir")))
-    met = rows.withColumn("_up", F.explode(up)).join(sidecars.select(F.col("dir").alias("_dir"), "body"), F.col("_up.dir") == F.col("_dir"), "left")
-    best = met.groupBy(*rows.columns).agg(F.min_by("body", F.when(F.col("body").isNotNull(), F.col("_up.depth")).otherwise(99)).alias("body"))
-    return best.withColumn("sidecar", F.from_json("body", SIDECAR)).drop("body")
+    """``rows``, each as often as it is there, with the parsed JSON of the nearest of their parent directories' sidecars (dir, body); malformed JSON is null."""
+    own = F.regexp_replace(path, "/[^/]*$", "")
+    parts = F.split("_own", "/")
+    up = F.transform(F.sequence(F.lit(1), F.lit(levels)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - k + 1, F.lit(0))), "/").alias("dir")))
+    met = rows.select(own.alias("_own")).distinct().withColumn("_up", F.explode(up)).join(sidecars.select(F.col("dir").alias("_dir"), "body"), F.col("_up.dir") == F.col("_dir"), "left")
+    best = met.groupBy("_own").agg(F.min_by("body", F.when(F.col("body").isNotNull(), F.col("_up.depth")).otherwise(99)).alias("_body"))
+    return rows.withColumn("_own", own).join(best, "_own", "left").withColumn("sidecar", F.from_json("_body", SIDECAR)).drop("_own", "_body")

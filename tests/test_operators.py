@@ -156,3 +156,34 @@ def test_streams(spark, tmp_path):
     assert sorted(r["size"] for r in result(jobs.open_events(stream(), "channel", "t"), "s4")) == [1, 2]
     jobs.incremental_ingest(stream().select("id", "body"), str(tmp_path / "out"), "id", ["body"], str(tmp_path / "s5")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_rows_without_a_key_have_sessions(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, timestamp '2024-01-01 10:00:00', 'a'), (2, timestamp '2024-01-01 11:00:00', null), (3, timestamp '2024-01-01 23:30:00', null), (4, timestamp '2024-01-02 00:30:00', null) AS t(id, ts, k)")
+    found = sorted((r.k or "", r.size) for r in events.gap_sessions(rows, "k", "ts", "id").collect())
+    assert found == [("", 1), ("", 2), ("a", 1)]
+
+
+def test_targets_never_collide(spark):
+    from medialake.operators.curation import collision_free
+
+    names = ["a.txt", "a.txt", "a-1.txt", "a.txt", "a-1.txt", "a-3.txt", "b", "b", "a-01.txt"]
+    rows = spark.createDataFrame([(k, "f", n) for k, n in enumerate(names)] + [(99, "g", "a.txt"), (100, None, "a.txt")], "id int, folder string, name string")
+    got = {r.id: r.target for r in collision_free(rows, "folder", "name", "id").collect()}
+    inside = [got[k] for k in range(len(names))]
+    assert len(set(inside)) == len(names) and got[0] == "a.txt" and got[1] == "a-2.txt" and got[3] == "a-4.txt" and got[4] == "a-1-1.txt" and got[7] == "b-1"
+    assert got[99] == got[100] == "a.txt"
+
+
+def test_sidecars_keep_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "/r/a/b/x.jpg"), (1, "/r/a/b/x.jpg"), (2, "/q/y.jpg")], "id int, path string")
+    side = spark.createDataFrame([("/r/a", '{"location": "Hut"}'), ("/r", '{"location": "far"}')], "dir string, body string")
+    got = sorted((r.id, r.sidecar.location if r.sidecar else None) for r in rules.nearest_sidecar(rows, "path", side).collect())
+    assert got == [(1, "Hut"), (1, "Hut"), (2, None)]
+
+
+def test_long_paths_stay_whole(spark):
+    from medialake.functions import paths
+
+    long = "/old/" + "x" * 20_000
+    assert spark.createDataFrame([(long,)], "path string").select(paths.rebased(F.col("path"), "/old", "/new").alias("p")).first().p == "/new/" + "x" * 20_000
