@@ -142,7 +142,7 @@ def _slices(row: np.ndarray, times: np.ndarray, most: int = 1_000_000):
 
 def _aligner(shared, sizes: list[int], min_score: float, min_words: int, size: int):
     def run(batches):
-        parts, keys, from_, to = shared.value
+        parts, names, keys, from_, to = shared.value
         find = _lookup(keys)
         lengths = np.array([len(x) for x in parts.words])
         seeds_of = np.bincount(parts.part, minlength=len(lengths))
@@ -180,7 +180,7 @@ def _aligner(shared, sizes: list[int], min_score: float, min_words: int, size: i
                 return None
             ids = table.column("doc_id").to_pylist()
             base = lo - first[r]
-            cols = [[ids[x] for x in r[ok]], parts.item[p[ok]], share[ok], (base + start)[ok], (base + end)[ok], n[ok]]
+            cols = [[ids[x] for x in r[ok]], [names[x] for x in parts.item[p[ok]]], share[ok], (base + start)[ok], (base + end)[ok], n[ok]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
 
         for table in chunks(batches, "text", size):
@@ -205,7 +205,7 @@ def _worder(size: int):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_words: int = 8, block_words: int = 1_000_000, chunk_bytes: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_words: int = 8, block_words: int = 1_000_000, chunk_bytes: int = 1_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, exactly or edited.
 
     Returns ``doc_id, item_id, score, start_word, end_word, n_seeds``, the best alignment of each pair. ``score`` is
@@ -228,7 +228,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_
     found = None
     for b in worded.select("part", "block").distinct().orderBy("part", "block").toLocalIterator():
         rows = worded.where((F.col("part") == b["part"]) & (F.col("block") == b["block"])).select("item_id", "words").orderBy("item_id", "words").collect()
-        parts = _parts([(r["item_id"] if r["item_id"] is not None else -1, np.frombuffer(r["words"], np.uint64)) for r in rows])
+        parts = _parts([(k, np.frombuffer(r["words"], np.uint64)) for k, r in enumerate(rows)])
+        names = [r["item_id"] for r in rows]
         sizes = sorted({min(GRAM, len(w)) for w in parts.words})
         keys, spot = np.unique(parts.grams, return_inverse=True)
         there = np.zeros(len(keys), bool)
@@ -236,7 +237,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = 0.4, min_
         keep = there[spot]  # what occurs nowhere leads nowhere
         seeds = parts._replace(grams=parts.grams[keep], part=parts.part[keep], place=parts.place[keep])
         keys, from_ = np.unique(seeds.grams, return_index=True)
-        shared = spark.sparkContext.broadcast((seeds, keys, from_, np.append(from_[1:], len(seeds.grams))))
+        shared = spark.sparkContext.broadcast((seeds, names, keys, from_, np.append(from_[1:], len(seeds.grams))))
         new = source.mapInArrow(_aligner(shared, sizes, min_score, min_words, chunk_bytes), "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
         found = new if found is None else found.union(new)
     if found is None:

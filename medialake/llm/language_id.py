@@ -166,7 +166,7 @@ def _predictor(langs: list[str], broadcast, penalty: float, size: int):
     return run
 
 
-def identify(docs: DataFrame, training: Column | None = None, penalty: float = 2.0, per_language: int = 4000, chunk_bytes: int = 1_000_000) -> DataFrame:
+def identify(docs: DataFrame, training: Column | None = None, penalty: float = 2.0, per_language: int = 4000, chunk_bytes: int = 300_000) -> DataFrame:
     """For each row: ``doc_id, lang_pred, score, langs, proportions``, the languages by falling proportion.
 
     ``training`` says which rows may be learned from (default: all with a language). ``lang_pred`` is the language

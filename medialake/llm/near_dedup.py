@@ -249,7 +249,7 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.union(single), "components")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, listed: int = 40, short: int = 16, pivots: int = 8, rounds: int = 2, exact: bool = False, chunk_bytes: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = 64, listed: int = 40, short: int = 16, pivots: int = 8, rounds: int = 2, exact: bool = False, chunk_bytes: int = 1_500_000) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` per cent.
 
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a set holds the distinct shingles of

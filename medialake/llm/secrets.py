@@ -72,7 +72,7 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", version: str | None = None) -> tuple[DataFrame, DataFrame]:
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path: str = "doc_id", text: str = "text", version: str | None = None, hint: str | None = "merge") -> tuple[DataFrame, DataFrame]:
     """Scans what the ledger lacks; returns the findings of all paths and the grown ledger.
 
     ``versions`` has a row for each version of each path; ``version`` names a column that tells them apart, if there is
@@ -81,8 +81,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path
     version), and is a stored table that a later run takes. A rule with a new version is scanned again in all blobs;
     rows of old versions stay and are not reported.
 
-    Places and addresses decide what is scanned; texts move only where what is not to be scanned is too much to
-    broadcast. Null or empty text is the empty blob, without findings. Null paths and repeated rows come back as they
+    Places and addresses decide what is scanned. ``hint`` says how texts meet what is not to be scanned: a merge moves
+    each text once at any size; with None Spark may broadcast, and moves no text where little is left out. Null or empty text is the empty blob, without findings. Null paths and repeated rows come back as they
     are. An empty table gives no findings and leaves the ledger as it is. Other columns are ignored.
     """
     spark = versions.sparkSession
@@ -103,7 +103,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES, path
     same = F.col("blob") == F.col("blob_")
     for x in names:
         same = same & F.col(x).eqNullSafe(F.col(f"{x}_"))
-    todo = bodies.join(others, same, "left_anti")
+    todo = bodies.join(others.hint(hint) if hint else others, same, "left_anti")
     none = F.array().cast("array<string>")
     if known is not None:
         todo = todo.join(known.where(F.size("known") < len(rules)), "blob", "left").withColumn("known", F.coalesce("known", none))

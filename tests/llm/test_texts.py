@@ -178,6 +178,8 @@ def test_contamination(spark):
     got = {(x.doc_id, x.item_id) for x in contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as words", "2 as part"), block_words=500).collect()}
     assert got - {(d, 9) for d in range(30)} == {(100, 1), (101, 2), (102, 0), (105, 8), (None, 3), (106, 4)}
     assert contaminated(frame(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
+    twins = [(None, items[1][1]), (-1, items[1][1]), (1, items[1][1])]
+    assert {x.item_id for x in contaminated(frame(spark, docs), spark.createDataFrame(twins, "item_id long, text string")).collect() if x.doc_id == 100} == {None, -1, 1}
     assert contaminated(frame(spark, []).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
