@@ -34,3 +34,22 @@ def iou(a: list[Column], b: list[Column]) -> Column:
 
 def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
     return (degrees + minutes / 60 + seconds / 3600) * F.when(ref.isin("S", "W"), -1).otherwise(1)
+
+
+def frontality(marks: Column, box: Column) -> Column:
+    """How frontal a face is, 0 to 1, from eyes and nose among five landmarks; null without landmarks or box.
+
+    Eyes stand about 0.4 of the box apart in a frontal face, and the nose midway between them.
+    """
+    left, right, nose = marks[0], marks[1], marks[2]
+    apart = F.sqrt(F.pow(right[0] - left[0], 2) + F.pow(right[1] - left[1], 2))
+    spread = F.least(F.lit(1.0), apart / F.greatest(F.lit(1.0), box[2] - box[0]) / 0.4)
+    centred = F.greatest(F.lit(0.0), 1 - F.abs(nose[0] - (left[0] + right[0]) / 2) / apart / 0.75)
+    return F.when((F.size(marks) >= 5) & (F.size(box) == 4), F.when(apart < 1e-3, 0.0).otherwise(spread * centred))
+
+
+def reading_order(box: Column, row_height: int = 200) -> Column:
+    """A sort key: rows of ``row_height`` from the top, in them from the left; boxes that are none come last."""
+    good = F.coalesce(F.size(box) == 4, F.lit(False))
+    row = F.floor((F.get(box, F.lit(1)) + F.get(box, F.lit(3))) / 2 / row_height)
+    return F.struct(F.when(good, 0).otherwise(1).alias("bad"), F.when(good, row).otherwise(0).alias("row"), F.when(good, F.get(box, F.lit(0))).otherwise(0).alias("x"))
