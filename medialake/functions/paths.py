@@ -12,6 +12,16 @@ VIDEO = ("mp4", "mov", "m4v", "avi", "mkv", "3gp", "mts", "webm")
 IMAGE = ("jpg", "jpeg", "png", "heic", "webp", "tif", "tiff", "cr2", "gif", "bmp")
 
 
+# Names of files and directories that tell where a file comes from.
+SCREENSHOT_NAME = r"(?i)^(screenshot|bildschirmfoto|scr_)"
+MESSENGER_NAME = r"(?i)^(IMG|VID)-\d{8}-WA\d+"
+SOCIAL_NAME = r"(?i)^(FB_IMG|Snapchat|Instagram|received_|Screenshot)"
+DIRECTORY_CHANNELS = {
+    "sent": "sent", "screenshots": "screenshot", "office lens": "document", "scans": "document", "documents": "document", "whatsapp": "whatsapp",
+    "download": "download", "downloads": "download", "instagram": "download", "ebay": "download", "chatgpt": "download", "telegram": "download",
+}
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -30,16 +40,19 @@ def kind(path: Column) -> Column:
 
 
 def channel(path: Column) -> Column:
-    """Where a file comes from: a screenshot's name, a messenger's name (sent or received), a directory rule, else the camera."""
-    name = file_name(path)
-    dirs = F.lower(folder(path))
-    messenger = name.rlike(r"^(IMG|VID|AUD)-\d{8}-WA\d+")
+    """Where a file comes from: a screenshot's name, a messenger's name (sent or received), the deepest directory with a rule, a
+    social network's name, else the camera."""
+    norm = F.translate(path, "\\", "/")
+    name = file_name(norm)
+    dirs = F.reverse(F.slice(F.split(F.lower(norm), "/"), F.lit(1), F.size(F.split(norm, "/")) - 1))
+    rules = F.create_map(*(F.lit(x) for pair in DIRECTORY_CHANNELS.items() for x in pair))
+    ruled = F.get(F.filter(dirs, lambda d: d.isin(*DIRECTORY_CHANNELS)), F.lit(0))
     return (
         F.when(F.coalesce(path, F.lit("")) == "", "camera")
-        .when(F.lower(name).startswith("screenshot"), "screenshot")
-        .when(messenger & dirs.rlike(r"(^|/)sent(/|$)"), "sent")
-        .when(messenger, "whatsapp")
-        .when(dirs.rlike(r"(^|/)downloads?(/|$)"), "download")
+        .when(name.rlike(SCREENSHOT_NAME), "screenshot")
+        .when(name.rlike(MESSENGER_NAME), F.when(F.array_contains(dirs, "sent"), "sent").otherwise("whatsapp"))
+        .when(ruled.isNotNull(), rules[ruled])
+        .when(name.rlike(SOCIAL_NAME), "download")
         .otherwise("camera")
     )
 

@@ -131,3 +131,23 @@ def cu18(spark, sf_dir):
     both = old.join(change, "id", "full")
     kept = lambda name, new: F.when(F.coalesce(F.array_contains("cleared", name), F.lit(False)), None).otherwise(F.coalesce(new, c(name)))
     return both.select("id", kept("pin", c("new_pin")).alias("pin"), kept("note", F.lit(None)).alias("note"))
+
+
+@query("vc22_asset_suggestions", f"WITH {UNIT}, s AS (SELECT q.vec_id AS query_id, u.label, u.vec_id, round(list_dot_product(q.v, u.v), 9) AS s FROM u q, u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id AND u.vec_id % 3 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM s WHERE s >= 0.1) SELECT CAST(floor(query_id / 300) AS BIGINT) AS asset_id, list_sort(list(DISTINCT label)) AS persons FROM r WHERE n = 1 GROUP BY 1")
+def vc22(spark, sf_dir):
+    """For each asset the best person of each of its asking faces."""
+    rows = _vectors(spark, sf_dir).select(c("vec_id").alias("id"), "label", "v")
+    hits = S.nearest(rows.where("id % 100 = 0").select("id", "v"), rows.where("id % 3 = 0").select("id", "v"), 1, least=0.1)
+    return hits.join(rows.select("id", "label"), "id").groupBy(F.floor(c("query_id") / 300).alias("asset_id")).agg(F.sort_array(F.collect_set("label")).alias("persons"))  # a set of at most all persons
+
+
+@query("tx2_distinct_stems")
+def tx2(spark, sf_dir):
+    """The eight most frequent words of five letters or more of each language, of which none is a form of one before it."""
+    from medialake.functions.text import distinct_stems
+
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{5,})"), F.lit(1)))).alias("word"))
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where("k <= 60")
+    terms = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("w"))
+    return terms.select("lang", distinct_stems(c("w.word"), 8).alias("terms"))

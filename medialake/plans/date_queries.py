@@ -202,3 +202,64 @@ def tk8(spark, sf_dir):
 @query("tk2_ids_only", oracle("v_assets", "SELECT asset_id FROM v_assets WHERE lang = 'en' AND trashed_at IS NULL ORDER BY asset_id LIMIT 200000"))
 def tk2(spark, sf_dir):
     return view(spark, sf_dir, "v_assets").where("lang = 'en' and trashed_at is null").select("asset_id").orderBy("asset_id").limit(200_000)
+
+
+@query("ex4_supported_tags", oracle("v_assets", "SELECT asset_id, list_filter(['ther', 'tionen', 'anderes', 'kkkk', 'ung'], lambda t: contains(f, t) OR (length(CASE WHEN length(t) > 6 AND regexp_matches(t, '(en|er|es)$') THEN left(t, length(t) - 2) ELSE t END) >= 4 AND contains(f, CASE WHEN length(t) > 6 AND regexp_matches(t, '(en|er|es)$') THEN left(t, length(t) - 2) ELSE t END))) AS kept FROM (SELECT asset_id, replace(replace(replace(replace(lower(caption), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS f FROM v_assets) q"))
+def ex4(spark, sf_dir):
+    from medialake.functions import text as T
+
+    tags = F.array(*map(F.lit, ["ther", "tionen", "anderes", "kkkk", "ung"]))
+    rows = view(spark, sf_dir, "v_assets").withColumn("f", T.spelled_out(c("caption")))
+    return rows.select("asset_id", F.filter(tags, lambda t: T.supported(t, c("f"))).alias("kept"))
+
+
+@query("ex11_titles", oracle("v_assets", "SELECT asset_id, CASE WHEN length(t) <= 40 AND len(string_split(t, ' ')) <= 5 THEN t END AS title FROM (SELECT asset_id, concat_ws(' ', folder, lang, CASE WHEN event_name IS NOT NULL THEN concat('at ', event_name, CASE WHEN asset_id % 3 = 0 THEN ' again' ELSE '' END) END) AS t FROM v_assets) q"))
+def ex11(spark, sf_dir):
+    from medialake.functions.text import clean_title
+
+    event = F.when(c("event_name").isNotNull(), F.concat(F.lit("at \n "), "event_name", F.when(c("asset_id") % 3 == 0, "  again").otherwise("")))
+    return view(spark, sf_dir, "v_assets").select("asset_id", clean_title(F.concat(F.lit(" - "), F.concat_ws("  ", "folder", "lang", event), F.lit(" .;"))).alias("title"))
+
+
+@query("sc3_nearest_sidecar", oracle("v_paths", "SELECT asset_id, CASE WHEN starts_with(path, '/mnt/photo/Handys/') THEN CASE WHEN contains(path, '/WhatsApp Images/') THEN 'phone pictures' ELSE 'phones' END WHEN path LIKE '/mnt/photo/Fotos/src1/%' THEN 'first source' END AS location FROM v_paths"))
+def sc3(spark, sf_dir):
+    from medialake.sources.rules import nearest_sidecar
+
+    docs = table(spark, sf_dir, "documents").select("source").distinct()
+    phone = F.concat(F.lit("/mnt/photo/Handys/"), "source")
+    body = lambda place: F.to_json(F.struct(F.lit(place).alias("location")))
+    side = docs.select(phone.alias("dir"), body("phones").alias("body")).union(docs.select(F.concat(phone, F.lit("/WhatsApp Images")), body("phone pictures")))
+    side = side.union(docs.where("source = 'src1'").select(F.concat(F.lit("/mnt/photo/Fotos/"), "source"), body("first source"))).union(docs.select(F.concat(F.lit("/mnt/photo/Fotos/"), "source", F.lit(" 2018")), F.lit("{broken")))
+    return nearest_sidecar(view(spark, sf_dir, "v_paths").select("asset_id", "path"), "path", side).select("asset_id", c("sidecar.location").alias("location"))
+
+
+@query("jn13_concept_match", oracle("v_assets", "SELECT asset_id, list_filter(['and', 'en', 'tion'], lambda t: regexp_matches(lower(caption), CASE t WHEN 'and' THEN '(and|und)' WHEN 'en' THEN '(en|ent)( |$)' ELSE 'tion[a-z]' END)) AS concepts FROM v_assets"))
+def jn13(spark, sf_dir):
+    """Concepts, each with a pattern, that a text holds."""
+    patterns = {"and": "(and|und)", "en": "(en|ent)( |$)", "tion": "tion[a-z]"}
+    held = F.array(*(F.when(F.lower("caption").rlike(p), name) for name, p in patterns.items()))
+    return view(spark, sf_dir, "v_assets").select("asset_id", F.array_compact(held).alias("concepts"))
+
+
+@query("fl11_map_mask", oracle("v_assets", "SELECT asset_id FROM v_assets WHERE event_name IS NULL AND coalesce(kind, 'photo') <> 'video' AND folder NOT IN ('src4') AND asset_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"))
+def fl11(spark, sf_dir):
+    """What the map shows: untouched photos of the spaces that are on, without hidden ids."""
+    hidden = table(spark, sf_dir, "labels").where("toxic = 1").select(c("doc_id").alias("asset_id"))
+    rows = view(spark, sf_dir, "v_assets").where(c("event_name").isNull() & (F.coalesce("kind", F.lit("photo")) != "video") & ~c("folder").isin("src4"))
+    return rows.select("asset_id").join(hidden, "asset_id", "left_anti")
+
+
+@query("ag22_work_suggestions", oracle("v_assets", "SELECT folder, CAST(count(*) FILTER (event_name IS NULL AND person_id IS NULL) AS BIGINT) AS open_rows, count(*) AS n FROM v_assets GROUP BY folder ORDER BY open_rows DESC, folder LIMIT 5"))
+def ag22(spark, sf_dir):
+    """The five folders with most untouched rows."""
+    open_ = F.count_if(c("event_name").isNull() & c("person_id").isNull())
+    return view(spark, sf_dir, "v_assets").groupBy("folder").agg(open_.alias("open_rows"), F.count("*").alias("n")).orderBy(F.desc("open_rows"), "folder").limit(5)
+
+
+@query("ag26_sources_table", oracle("v_paths", "SELECT root, count(*) AS n FROM (SELECT DISTINCT concat('/mnt/photo/Fotos/', source) AS root FROM documents) r JOIN v_paths ON starts_with(path, concat(root, '/')) GROUP BY root"))
+def ag26(spark, sf_dir):
+    """Rows under each root; a path is dealt to its own directories, so roots and paths meet by equal keys."""
+    roots = table(spark, sf_dir, "documents").select(F.concat(F.lit("/mnt/photo/Fotos/"), "source").alias("root")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return view(spark, sf_dir, "v_paths").select(F.explode(above).alias("root")).groupBy("root").count().withColumnRenamed("count", "n").join(roots, "root")

@@ -187,3 +187,37 @@ def test_long_paths_stay_whole(spark):
 
     long = "/old/" + "x" * 20_000
     assert spark.createDataFrame([(long,)], "path string").select(paths.rebased(F.col("path"), "/old", "/new").alias("p")).first().p == "/new/" + "x" * 20_000
+
+
+def test_channels(spark):
+    from medialake.functions import paths
+
+    want = {
+        "/r/Alps/IMG-20180102-WA0003.jpg": "whatsapp", "/r/phone/Sent/IMG-20180102-WA0003.jpg": "sent", "/r/phone/Sent/hut.jpg": "sent", "/r/x/Bildschirmfoto 3.png": "screenshot",
+        "/r/Screenshots/hut.png": "screenshot", "/r/Office Lens/a.jpg": "document", "/r/Scans/Ebay/a.jpg": "download", "/r/Ebay/Scans/a.jpg": "document", "/r/alps/FB_IMG_12.jpg": "download", "/r/xIMG-20180102-WA0003.jpg": "camera", "": "camera", "C:\\pics\\Telegram\\a.jpg": "download",
+    }
+    got = {r.path: r.c for r in spark.createDataFrame([(p,) for p in want], "path string").withColumn("c", paths.channel(F.col("path"))).collect()}
+    assert got == want
+
+
+def test_word_forms_and_titles(spark):
+    from medialake.functions import text
+
+    def plain_related(a, b):
+        short, long = sorted((a, b), key=len)
+        same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a == b or (len(short) >= 4 and (long.startswith(short) or long.endswith(short))) or (same >= 5 and len(a) - same <= 3 and len(b) - same <= 3)
+
+    words = ["meadow", "meadows", "oak", "oaken", "surface", "woodsurface", "gardens", "gas", "gardener", "walking", "walked", "walker", "lakes", "lake", "lak"]
+    kept = []
+    for w in words:
+        if len(kept) < 6 and not any(plain_related(w, k) for k in kept):
+            kept.append(w)
+    row = spark.createDataFrame([(words,)], "w array<string>").select(text.distinct_stems(F.col("w"), 6).alias("k")).first()
+    assert row.k == kept
+    titles = {" -  Lake \n  walk. ": "Lake walk", "one two three four five six": None, "x" * 41: None, " .": None}
+    got = {r.t: r.c for r in spark.createDataFrame([(t,) for t in titles], "t string").withColumn("c", text.clean_title(F.col("t"))).collect()}
+    assert got == titles
+    named = {"Noras garden feast": "Garden feast", "Nora und Tim": None, "Lake walk": "Lake walk", "feast of Tim's": "Feast of"}
+    got = {r.t: r.c for r in spark.createDataFrame([(t,) for t in named], "t string").withColumn("c", text.without_names(F.col("t"), ["nora", "tim"])).collect()}
+    assert got == named
