@@ -263,3 +263,48 @@ def ag26(spark, sf_dir):
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     return view(spark, sf_dir, "v_paths").select(F.explode(above).alias("root")).groupBy("root").count().withColumnRenamed("count", "n").join(roots, "root")
+
+
+OCCASION = "CASE WHEN event_name IS NOT NULL THEN event_name WHEN NOT regexp_matches(folder, '(?i)^(src[0-9]|camera|dcim|download|new folder|whatsapp images|sent|[0-9]{3}[A-Z_]+)$') THEN folder END"
+
+
+@query("pr19_occasion", oracle("v_assets", f"SELECT asset_id, {OCCASION.replace('folder END', 'trim(folder) END')} AS occasion FROM (SELECT asset_id, event_name, CASE WHEN asset_id % 3 = 0 THEN folder ELSE concat('Walk ', lang) END AS folder FROM v_assets) q"))
+def pr19(spark, sf_dir):
+    """The given name, else the folder without a date around it, unless that says nothing."""
+    from medialake.functions.text import occasion
+
+    folder = F.when(c("asset_id") % 3 == 0, c("folder")).when(c("asset_id") % 3 == 1, F.concat(F.lit("2018-05-03 Walk "), "lang")).otherwise(F.concat(F.lit("Walk "), "lang", F.lit(" 2018-05")))
+    return view(spark, sf_dir, "v_assets").select("asset_id", occasion(c("event_name"), folder, P.generic).alias("occasion"))
+
+
+@query("pr23_public_persons", oracle("v_assets", "SELECT asset_id, CASE WHEN person_id IS NULL OR starts_with(person_id, '_') THEN [] WHEN asset_id % 2 = 0 THEN [concat('Name ', person_id)] ELSE [person_id] END AS persons FROM v_assets"))
+def pr23(spark, sf_dir):
+    """Names where there are any, else ids; those that start with an underscore are no persons."""
+    ids = F.array_compact(F.array("person_id"))
+    names = F.when((c("asset_id") % 2 == 0) & ~F.coalesce(c("person_id").startswith("_"), F.lit(False)), F.transform(ids, lambda x: F.concat(F.lit("Name "), x))).otherwise(F.array().cast("array<string>"))
+    said = F.when(F.size(names) > 0, names).otherwise(ids)
+    return view(spark, sf_dir, "v_assets").select("asset_id", F.filter(said, lambda x: ~x.startswith("_")).alias("persons"))
+
+
+@query("pr24_primary_face", oracle("v_faces", "SELECT photo_id, arg_max(face_id, (px * (px + face_id % 7), -face_id)) AS face_id, max(px * (px + face_id % 7)) AS area FROM v_faces GROUP BY photo_id"))
+def pr24(spark, sf_dir):
+    """The largest face of each photo, the smaller id of equals."""
+    area = c("px") * (c("px") + c("face_id") % 7)
+    faces = view(spark, sf_dir, "v_faces").withColumn("area", area)
+    return faces.groupBy("photo_id").agg(F.max_by("face_id", F.struct("area", -c("face_id"))).alias("face_id"), F.max("area").alias("area"))
+
+
+@query("se4_ordered_distinct", "SELECT o_custkey, list(o_orderpriority ORDER BY first_at, o_orderpriority) AS kinds FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_at FROM orders GROUP BY 1, 2) q GROUP BY o_custkey")
+def se4(spark, sf_dir):
+    """Distinct values in order of first appearance; they are distinct before they are gathered."""
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("at"))
+    return first.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("at", "o_orderpriority"))).alias("x")).select("o_custkey", c("x.o_orderpriority").alias("kinds"))
+
+
+@query("ex10_spread", "WITH p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), m AS (SELECT label, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY label) SELECT vec_id, round(x + 0.4 * (cx - x), 6) AS x, round(y + 0.4 * (cy - y), 6) AS y FROM p JOIN m USING (label)")
+def ex10(spark, sf_dir):
+    """Points pushed by a share towards the centre of their cluster."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", "label", c("embedding")[0].cast("double").alias("x"), c("embedding")[1].cast("double").alias("y"))
+    centres = p.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    to = lambda a, b: F.round(c(a) + 0.4 * (c(b) - c(a)), 6).alias(a)
+    return p.join(centres, "label").select("vec_id", to("x", "cx"), to("y", "cy"))
