@@ -45,3 +45,28 @@ def _best(shared, k: int, least: float | None):
                 yield pd.DataFrame({"query_id": ids[x], "id": own[order], "score": row[order]})
 
     return run
+
+
+def nearest_join(left: DataFrame, right: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """The ``k`` rows of ``right`` nearest to every row of ``left`` (id, v; unit vectors): ``query_id, id, score, rank``.
+
+    Both sides are dealt in blocks and each pair of blocks is one task, so neither side passes through the driver or
+    one task as a whole; at most ``k`` rows of each pair of blocks and query are shuffled. Ties to 9 places go to the smaller id.
+    """
+    sides = [side.where("id is not null and v is not null").select("id", "v") for side in (left, right)]
+    n, m = (max(1, -(-side.count() // block)) for side in sides)
+    dealt = lambda side, mine, parts, other, others: side.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    a, b = dealt(sides[0], "i", n, "j", m), dealt(sides[1], "j", m, "i", n).toDF("other", "w", "to", "from")
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        own, out = y["other"].to_numpy(), []
+        for query, row in zip(x["id"], np.stack(x["v"].to_list()) @ np.stack(y["w"].to_list()).T, strict=True):
+            order = np.lexsort((own, -np.round(row, 9)))[:k]
+            out.append(pd.DataFrame({"query_id": query, "id": own[order], "score": row[order]}))
+        return pd.concat(out)
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("from", "to")).applyInPandas(met, "query_id long, id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
