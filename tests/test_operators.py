@@ -221,3 +221,103 @@ def test_word_forms_and_titles(spark):
     named = {"Noras garden feast": "Garden feast", "Nora und Tim": None, "Lake walk": "Lake walk", "feast of Tim's": "Feast of"}
     got = {r.t: r.c for r in spark.createDataFrame([(t,) for t in named], "t string").withColumn("c", text.without_names(F.col("t"), ["nora", "tim"])).collect()}
     assert got == named
+
+
+def test_same_person_once(spark):
+    from medialake.operators.faces import same_person_once
+
+    rows = [(1, 1, [1.0, 0.0], 0.2, 0.9, 5.0), (1, 2, [0.9, 0.1], 0.8, 0.5, 5.0), (1, 3, [0.0, 1.0], None, 0.9, 5.0), (1, 4, [0.1, 2.0], None, 0.9, 6.0), (1, 5, None, 1.0, 1.0, 9.0), (2, 6, [1.0, 0.0], None, None, None)]
+    df = spark.createDataFrame(rows, "photo int, face long, v array<double>, frontality double, score double, area double")
+    # 2 is more frontal than 1, 4 is larger than 3, 5 has no vector.
+    assert sorted((r.photo, r.face) for r in same_person_once(df, "photo", "face", "v").collect()) == [(1, 2), (1, 4), (2, 6)]
+    assert same_person_once(df.limit(0), "photo", "face", "v").count() == 0
+
+
+def _greedy(old, new, least):
+    def area(b):
+        return (b[2] - b[0]) * (b[3] - b[1])
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(w, 0) * max(h, 0)
+        return both / (area(a) + area(b) - both)
+
+    told, x, y = {}, set(), set()
+    for s, i, j in sorted(((overlap(a, b), i, j) for i, a in old.items() for j, b in new.items()), reverse=True):
+        if s >= least and i not in x and j not in y:
+            told[i] = j
+            x.add(i)
+            y.add(j)
+    return told
+
+
+def test_paired_boxes_and_carry_over(spark):
+    import random
+
+    from medialake.operators.faces import carry_over, chosen_frame, paired_boxes
+
+    rng = random.Random(3)
+    box = lambda: (lambda x, y, s: (x, y, x + s, y + s))(rng.randrange(60), rng.randrange(60), rng.randrange(20, 50))
+    old = {p: {n: box() for n in range(rng.randrange(1, 6))} for p in range(20)}
+    new = {p: {100 + n: box() for n in range(rng.randrange(1, 6))} for p in range(20)}
+    schema = "photo int, id long, x1 int, y1 int, x2 int, y2 int"
+    frame = lambda boxes: spark.createDataFrame([(p, n, *b) for p, of in boxes.items() for n, b in of.items()], schema)
+    got = {}
+    pairs = paired_boxes(frame(old), frame(new), "photo")
+    for r in pairs.collect():
+        got.setdefault(r.photo, {})[r.old_id] = r.new_id
+    assert got == {p: t for p in old if (t := _greedy(old[p], new[p], 0.3))}
+
+    lying = spark.createDataFrame([(1, 1, "Ann"), (1, 2, None), (2, 3, "Bo"), (2, 4, "Cy"), (3, 5, "Di")], "photo int, id long, name string")
+    boxes = {1: {1: (0, 0, 10, 10), 2: (50, 0, 60, 10)}, 2: {3: (0, 0, 10, 10), 4: (50, 0, 60, 10)}, 3: {5: (0, 50, 10, 60)}}
+    found = {1: {11: (0, 0, 10, 10), 12: (50, 0, 60, 10)}, 2: {13: (0, 0, 10, 10), 14: (90, 90, 99, 99)}, 3: {15: (50, 0, 60, 10)}}
+    turned = {p: {n: (b[1], b[0], b[3], b[2]) for n, b in of.items()} for p, of in boxes.items()}
+    new_boxes = frame(found)
+    best = chosen_frame(paired_boxes(frame(boxes), new_boxes, "photo"), paired_boxes(frame(turned), new_boxes, "photo"), "photo")
+    plan = {r.photo: (r.verdict, r.transferred, r.lost) for r in carry_over(lying, new_boxes, best, "photo").collect()}
+    assert plan == {1: ("stamp only", ["Ann"], []), 2: ("names lost", ["Bo"], ["Cy"]), 3: ("renewed", ["Di"], [])}
+
+
+def test_nearest_join_equals_brute_force(spark):
+    import numpy as np
+
+    from medialake.operators.search import nearest_join
+
+    v = np.random.default_rng(5).normal(size=(90, 6))
+    v[7] = v[3]  # a tie
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(200, None)], "id long, v array<double>")
+    left, right = df.where("id >= 60"), df.where("id < 60")
+    got = {}
+    for r in nearest_join(left, right, 4, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    score = np.round(v[60:] @ v[:60].T, 9)
+    assert got == {60 + q: np.lexsort((np.arange(60), -row))[:4].tolist() for q, row in enumerate(score)}
+    assert nearest_join(left.limit(0), right, 4).count() == 0
+
+
+def test_plane_layout_keeps_the_most_variance(spark):
+    import numpy as np
+
+    from medialake import registry
+
+    registry.load()
+    rows = registry.QUERIES["vc17_plane_layout"](spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
+    raw = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    x = np.array([r.embedding for r in raw], float)
+    x -= x.mean(0)
+    most = np.linalg.svd(x, compute_uv=False)[:2] ** 2
+    got = np.array([(r.x, r.y) for r in rows])
+    assert np.allclose(((got - got.mean(0)) ** 2).sum(0), most, rtol=1e-6)
+
+
+def test_notes_round_trip(spark):
+    from pyspark.sql import functions as F
+
+    from medialake.functions import notes as N
+
+    df = spark.createDataFrame([("x lake:mtime=2;src=a=b;zoom=1;src= c ;cap=",), ("nothing",), ("lake:",), ("",)], "note string")
+    df = df.select("note", N.note_text(N.note_fields(F.col("note"), "lake"), "lake").alias("text"))
+    assert [r.text for r in df.collect()] == ["lake:src=c;mtime=2;zoom=1", "", "", ""]
+    blobs = spark.createDataFrame([('{"caption": "a\\nb"}',), ('{"caption": "cut \\"he',), (None,), ("{",), ('{"caption": 3, "x": 1}',)], "t string")
+    assert [r.x for r in blobs.select(N.salvaged(F.col("t"), "caption").alias("x")).collect()] == ["a\nb", 'cut "he', "", "", "3"]
