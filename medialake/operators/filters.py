@@ -85,3 +85,30 @@ def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Colu
         crosses = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < F.lit((x2 - x1) / (y2 - y1)) * (y - y1) + x1)
         crossings = crossings + crosses.cast("int")
     return box & (crossings % 2 == 1)
+
+
+def resolved_tree(rows: DataFrame, node: dict | None, resolver: DataFrame, field: str, row_value: str, columns: dict[str, str], day: str = "taken_at") -> DataFrame:
+    """The rows that a query tree lets through, where leaves of ``field`` hold tokens and ``resolver`` (token, id) says which values they mean.
+
+    Each token is one join with its distinct ids, in the way that Spark picks by their size; a token without ids lets nothing through.
+    """
+    tokens: list = []
+
+    def named(n: dict) -> dict:
+        if "children" in n:
+            return {**n, "children": [named(x) for x in n["children"]]}
+        if n.get("field") != field or n.get("value") in (None, "", []):
+            return n
+        tokens.append(n["value"])
+        return {"field": f"_token{len(tokens)}", "value": True}
+
+    asked = named(node) if node else None
+    known = dict(columns)
+    out = rows
+    for n, token in enumerate(tokens, 1):
+        flag = f"_token{n}"
+        ids = resolver.where(F.col("token") == token).select(F.col("id").alias(f"{flag}_id")).distinct().withColumn(f"{flag}_met", F.lit(True))
+        out = out.join(ids, F.col(row_value) == F.col(f"{flag}_id"), "left").withColumn(flag, F.coalesce(f"{flag}_met", F.lit(False)))
+        known[flag] = flag
+    condition = tree(asked, known, day)
+    return (out if condition is None else out.where(condition)).select(*rows.columns)
