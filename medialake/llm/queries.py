@@ -9,6 +9,7 @@ from medialake.llm import hamming_search, secrets, sharding, url_filter
 from medialake.llm.decontaminate import contaminated
 from medialake.llm.html_extract import extract
 from medialake.llm.language_id import identify
+from medialake.llm.mixing import mix
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
 from medialake.llm.substring_dedup import remove_repeats
@@ -136,3 +137,23 @@ def op2_decontamination(spark, sf_dir):
 @query("op9_html_extraction")
 def op9_html_extraction(spark, sf_dir):
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+@query(
+    "op11_source_mixing",
+    r"""
+    WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS k FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 5.0 WHEN 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source),
+    level AS (
+        SELECT 0 AS i, sum(source_size)::DOUBLE / sum(w) AS l, list({'n': source_size, 'w': w}) AS s, sum(source_size)::DOUBLE AS total FROM s
+        UNION ALL
+        SELECT i + 1, (total - list_sum(list_transform(s, lambda x: CASE WHEN 3.0 * x.n < l * x.w THEN 3.0 * x.n ELSE 0 END))::DOUBLE) / list_sum(list_transform(s, lambda x: CASE WHEN 3.0 * x.n < l * x.w THEN 0 ELSE x.w END))::DOUBLE, s, total FROM level WHERE i < 40),
+    t AS (SELECT source, source_size, least(3.0 * source_size::DOUBLE, w * (SELECT max_by(l, i) FROM level)) AS target FROM s),
+    b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(floor(target / source_size), 3) AS BIGINT) ELSE 0 END AS times FROM t),
+    c AS (SELECT d.doc_id, size, source_size, target, times, target - times * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, size, source_size, target, CAST(size * (times + CASE WHEN before + size <= rest OR (before <= rest AND 2 * (rest - before) > size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c
+    """,
+)
+def op11_source_mixing(spark, sf_dir):
+    return mix(_documents(spark, sf_dir), weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
