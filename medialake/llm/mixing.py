@@ -3,7 +3,7 @@
 Each document has a key, a hash of its id and text. A source whose target is ``times`` its size and some words more takes
 every document ``times`` times, and once more those whose key lies below the source's threshold. To find the threshold,
 words are summed by source and by the first hex digits of the key; the bucket in which the rest of the budget ends is
-divided by the next digits, and so on until it holds one document. Thresholds are nested: a larger target takes all that a
+divided by the next digits that tell its documents apart, and so on until it holds one. Thresholds are nested: a larger target takes all that a
 smaller one takes.
 """
 
@@ -64,21 +64,21 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     A round sums by source and bucket, at most 4,096 a source, and goes on with the rows of the boundary buckets alone.
     """
     cut = budgets.select("_s", "rest", F.lit(0).cast("long").alias("_before"))
-    digits = 0
+    rows = rows.withColumn("_digits", F.lit(DIGITS))
+    shared = F.length(F.regexp_extract(F.concat_ws("|", "_least", "_most"), r"^([0-9a-f]*)[0-9a-f]*\|\1", 1))  # digits that all keys of a bucket begin with
     while True:
-        digits += DIGITS
-        bucket = F.substring("_key", 1, digits).alias("_bucket")
-        sums = rows.groupBy("_s", bucket).agg(F.sum("size").alias("_words"), F.count("*").alias("_n"))
+        rows = rows.withColumn("_bucket", F.substring(F.col("_key"), F.lit(1), F.col("_digits")))
+        sums = rows.groupBy("_s", "_bucket").agg(F.sum("size").alias("_words"), F.count("*").alias("_n"), F.min("_key").alias("_least"), F.max("_key").alias("_most"))
         earlier = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         met = sums.withColumn("_inside", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).join(cut, "_s")
-        met = met.withColumn("_before", F.col("_before") + F.col("_inside"))
-        cut = stored(met.where((F.col("_before") <= F.col("rest")) & (F.col("rest") < F.col("_before") + F.col("_words"))).select("_s", "rest", "_before", "_bucket", "_n"), "boundary")
-        rows = stored(rows.withColumn("_bucket", bucket).join(cut.select("_s", "_bucket"), ["_s", "_bucket"]).drop("_bucket"), "inside")
+        met = met.withColumn("_before", F.col("_before") + F.col("_inside")).where((F.col("_before") <= F.col("rest")) & (F.col("rest") < F.col("_before") + F.col("_words")))
+        cut = stored(met.select("_s", "rest", "_before", "_bucket", "_n", (shared + DIGITS).alias("_digits")), "boundary")
+        rows = stored(rows.drop("_digits").join(cut.select("_s", "_bucket", "_digits"), ["_s", "_bucket"]).drop("_bucket"), "inside")
         if not cut.where("_n > 1").limit(1).count():
             break
-        cut = cut.drop("_bucket", "_n")
+        cut = cut.select("_s", "rest", "_before")
     nearer = 2 * (F.col("rest") - F.col("_before")) > F.col("size")
-    return cut.join(rows, "_s").select("_s", F.when(nearer, F.concat("_key", F.lit("~"))).otherwise(F.col("_key")).alias("_upto"))
+    return cut.drop("_digits").join(rows, "_s").select("_s", F.when(nearer, F.concat("_key", F.lit("~"))).otherwise(F.col("_key")).alias("_upto"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, row_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from medialake.llm.mixing import mix
 from medialake.llm.near_dedup import near_duplicates
 from medialake.llm.packing import pack
 from medialake.llm.substring_dedup import remove_repeats
+from medialake.llm.variants import variants
 
 QUERIES = {}
 ORACLES = {}
@@ -157,3 +158,8 @@ def op9_html_extraction(spark, sf_dir):
 )
 def op11_source_mixing(spark, sf_dir):
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    return variants(_documents(spark, sf_dir), least=6, often=5, every=199, share=5)
