@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from medialake.llm import hamming_search, secrets, sharding, url_filter
+from medialake.llm import hamming_search, secrets, sharding, turns, url_filter
 from medialake.llm.decontaminate import contaminated
 from medialake.llm.html_extract import extract
 from medialake.llm.language_id import identify
@@ -163,3 +163,9 @@ def op11_source_mixing(spark, sf_dir):
 @query("op13_spelling_variants")
 def op13_spelling_variants(spark, sf_dir):
     return variants(_documents(spark, sf_dir), least=6, often=5, every=199, share=5)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.report(conversations, turns.damaged(conversations))
