@@ -127,3 +127,17 @@ def name_ok(name: Column) -> Column:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def common_root(path: Column) -> Column:
+    """An aggregate: the directory that all paths of a group share, cut at segments; that of one path, or of equal ones, is its parent.
+
+    Null and empty paths don't count; a single path without a directory is its own root, as there is nothing above it; without paths it is empty.
+    """
+    path = F.nullif(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(""))
+    ends = [F.split(F.regexp_replace(end, "/?[^/]*$", ""), "/") for end in (F.min(path), F.max(path))]  # what all share, the least and the greatest share
+    same = F.zip_with(*ends, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    upto = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)), F.size(same) + 1) - 1
+    shared = F.array_join(F.slice(ends[0], 1, upto.cast("int")), "/")
+    alone = (F.count(path) == 1) & ~F.contains(F.min(path), F.lit("/"))
+    return F.when(F.count(path) == 0, "").when(alone, F.min(path)).otherwise(shared)

@@ -49,12 +49,17 @@ paths_query("sc11_detail", lambda path: [P.file_name(path).alias("file_name"), P
 
 @query("pr3_common_root", oracle("v_paths", "SELECT '/mnt/photo' AS root, count(*) AS n FROM v_paths"))
 def pr3(spark, sf_dir):
-    """The longest common directory of all paths is that of the least and the greatest path."""
-    ends = view(spark, sf_dir, "v_paths").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.count("*").alias("n"))
-    a, b = F.split("a", "/"), F.split("b", "/")
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    upto = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)), F.size(a) + 1) - 1
-    return ends.select(F.array_join(F.slice(a, 1, upto.cast("int")), "/").alias("root"), "n")
+    return view(spark, sf_dir, "v_paths").agg(P.common_root(F.col("path")).alias("root"), F.count("*").alias("n"))
+
+
+PREFIX = "list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i)))"
+
+
+@query("pr3_roots_by_group", oracle("v_paths", f"SELECT k, regexp_replace(left(a, {PREFIX}), '/[^/]*$', '') AS root, n FROM (SELECT concat({DIRS}, CASE WHEN asset_id % 3 = 0 THEN CAST(asset_id AS VARCHAR) END) AS k, min(path) AS a, max(path) AS b, count(*) AS n FROM v_paths GROUP BY 1) q"))
+def pr3_groups(spark, sf_dir):
+    """The common root of the paths of each directory; every third path is a group of its own and has its parent as root."""
+    k = F.concat(P.folder(F.col("path")), F.when(F.col("asset_id") % 3 == 0, F.col("asset_id").cast("string")).otherwise(""))
+    return view(spark, sf_dir, "v_paths").groupBy(k.alias("k")).agg(P.common_root(F.col("path")).alias("root"), F.count("*").alias("n"))
 
 
 @query("sc9_scan_preview", oracle("v_paths", "SELECT CASE WHEN starts_with(path, '/mnt/photo/Fotos/src1/') THEN '/mnt/photo/Fotos/src1' WHEN starts_with(path, '/mnt/photo/Fotos/') THEN '/mnt/photo/Fotos' ELSE '/mnt/photo' END AS root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM v_paths GROUP BY 1"))
@@ -81,9 +86,24 @@ def pr18(spark, sf_dir):
     return rows.select("asset_id", T.header(F.date_format("d", "dd.MM.yyyy"), T.season(F.month("d")), F.col("event_name"), F.col("folder")).alias("header"))
 
 
-@query("pr21_caption_clean", oracle("v_assets", r"SELECT asset_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(caption, '\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\b|\b(?:19|20)[0-9][0-9]\b', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'))) AS clean FROM v_assets"))
+# Each caption with a phrase that tells a date or a year, by id, and the date of its row.
+TOLD = """SELECT asset_id, concat(caption, CASE asset_id % 9 WHEN 0 THEN ', aufgenommen im Juni 2008' WHEN 1 THEN ' WM 2014 Trikot' WHEN 2 THEN ' Das Foto wurde am 3. Mai 2019 aufgenommen.' WHEN 3 THEN ' vom 3.10.1999 , dann' WHEN 4 THEN ' im März 2011.'
+    WHEN 5 THEN ', entgenommen am 24. dezember 2015' WHEN 6 THEN ' Das Foto entstand 2003 in der Stadt.' WHEN 7 THEN ' Abi  2017 ,,' ELSE '' END) AS caption, CASE WHEN asset_id % 4 < 3 THEN concat(CAST(2013 + asset_id % 5 AS VARCHAR(9)), '-05-01') END AS date FROM v_assets"""
+
+
+def _cleaned_sql() -> str:
+    out = "caption"
+    for pattern in T.DATE_PHRASES:
+        out = f"regexp_replace({out}, '(?i){pattern}', '', 'g')"
+    out = f"CASE WHEN date IS NULL THEN {out} ELSE regexp_replace({out}, concat('\\s*\\b', left(date, 4), '\\b'), '', 'g') END"
+    out = f"regexp_replace(regexp_replace({out}, '(?i){T.EMPTY_SENTENCE}', '', 'g'), '\\s{{2,}}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({out}, '\\s+([.,])', '\\1', 'g'), '[.]{{2,}}', '.', 'g'), '[,]{{2,}}', ',', 'g'), ' ,')"
+
+
+@query("pr21_caption_clean", oracle("v_assets", f"SELECT asset_id, md5({_cleaned_sql()}) AS clean FROM ({TOLD}) t"))
 def pr21(spark, sf_dir):
-    return view(spark, sf_dir, "v_assets").select("asset_id", F.md5(T.caption_clean(F.col("caption"))).alias("clean"))
+    view(spark, sf_dir, "v_assets").createOrReplaceTempView("v_assets")
+    return spark.sql(TOLD).select("asset_id", F.md5(T.caption_clean(F.col("caption"), F.col("date"))).alias("clean"))
 
 
 @query("pr35_slugs", "SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer")

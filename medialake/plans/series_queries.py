@@ -37,18 +37,19 @@ i AS (SELECT *, CASE WHEN given IS NULL OR excluded OR (stamped IS NOT NULL AND
 m AS (SELECT asset_id, key, taken_at, CASE WHEN class = 2 OR (class IS NOT NULL AND max(class) OVER (PARTITION BY key, sid) < 2) THEN given WHEN NOT excluded THEN stamped END AS name FROM i)"""
 
 
-def _named(spark, sf_dir):
+def _named(spark, sf_dir, of="v_series"):
     """(asset_id, key, taken_at, name): rows of named sessions. Excluded rows and those stamped otherwise stay out; if any row is at home (by
     stamp or folder), only such rows belong. What is left joins by its own stamp."""
-    rows = gap_session_starts(view(spark, sf_dir, "v_series"), "key", "taken_at", "asset_id", GAP)
+    rows = gap_session_starts(view(spark, sf_dir, of), "key", "taken_at", "asset_id", GAP)
     given = F.when(F.dayofmonth("session_start") % 2 == 0, F.concat(F.lit("album "), (c("key") % 5).cast("string")))
     out = c("excluded") | c("given").isNull() | F.coalesce(c("stamped") != c("given"), F.lit(False))
     kind = F.when(out, None).when(F.coalesce(c("stamped") == c("given"), F.lit(False)) | (c("folder") == c("given")), 2).when(c("folder") == "camera", 0).otherwise(1)
     rows = rows.withColumn("given", given).withColumn("class", kind)
-    homes = rows.groupBy("key", "session_start").agg(F.max("class").alias("most"))
+    homes = rows.groupBy("key", "session_start").agg(F.max("class").alias("most")).select(c("key").alias("_key"), c("session_start").alias("_start"), "most")
     member = (c("class") == 2) | (c("class").isNotNull() & (c("most") < 2))
     name = F.when(member, c("given")).when(~c("excluded"), c("stamped"))
-    return rows.join(homes, ["key", "session_start"]).select("asset_id", "key", "taken_at", name.alias("name"))
+    same = c("key").eqNullSafe(c("_key")) & (c("session_start") == c("_start"))  # rows without a key are one key's
+    return rows.join(homes, same).select("asset_id", "key", "taken_at", name.alias("name"))
 
 
 @query("wn9_named_members", oracle("v_series", "").rstrip() + NAMED + " SELECT asset_id, key, name FROM m WHERE name IS NOT NULL")
@@ -56,6 +57,15 @@ def wn9(spark, sf_dir):
     return _named(spark, sf_dir).where("name is not null").select("asset_id", "key", "name")
 
 
+SQL["v_unkeyed"] = f"SELECT asset_id, taken_at, CASE WHEN key % 7 <> 0 THEN key END AS key, folder, person, coalesce(stamped, CASE WHEN key % 7 = 0 THEN 'walk' END) AS stamped, excluded FROM ({SQL['v_series']}) w"
+
+
+@query("wn9_members_without_key", oracle("v_unkeyed", "").rstrip() + NAMED.replace("v_series", "v_unkeyed") + " SELECT asset_id, key, name FROM m WHERE name IS NOT NULL")
+def wn9_unkeyed(spark, sf_dir):
+    """Named members where the rows of some users have no key: these are one key's."""
+    return _named(spark, sf_dir, "v_unkeyed").where("name is not null").select("asset_id", "key", "name")
+
+
 SERIES = " SELECT key, name, min(taken_at) AS start_at, max(taken_at) AS end_at, count(*) AS size, bool_and(taken_at = date_trunc('day', taken_at)) AS day_level FROM m WHERE name IS NOT NULL GROUP BY key, name"
 
 
