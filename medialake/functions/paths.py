@@ -141,3 +141,26 @@ def common_root(path: Column) -> Column:
     shared = F.array_join(F.slice(ends[0], 1, upto.cast("int")), "/")
     alone = (F.count(path) == 1) & ~F.contains(F.min(path), F.lit("/"))
     return F.when(F.count(path) == 0, "").when(alone, F.min(path)).otherwise(shared)
+
+
+# Fixed value: the name space of domain names.
+DNS = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, space: str = DNS) -> Column:
+    """The name-based UUID (version 5) of a text: SHA-1 over the name space's bytes and the name's UTF-8, with version and variant set."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
+    part = lambda at, size: F.substring(digest, at, size)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def point_id(uid: Column) -> Column:
+    """The point of an asset's identity."""
+    return uuid5(uid)
+
+
+def face_point_id(asset: Column, index: Column, box: Column, frame_s: Column) -> Column:
+    """The point of a face: asset, number, box (array of whole numbers) and, on a video, the frame's second (written as Python writes a float)."""
+    written = F.concat(F.lit("["), F.array_join(F.transform(box, lambda x: x.cast("string")), ", "), F.lit("]"))
+    return uuid5(F.concat_ws(":", asset.cast("string"), frame_s.cast("string"), index.cast("string"), written))
