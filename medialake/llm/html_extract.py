@@ -91,8 +91,18 @@ def parse(html: str) -> list[Node]:
     """
     nodes = [Node(-1, "", ["block "])]
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its node (or that around it), whether it is unseen
+    open_ = Counter()  # elements on the stack, by name
     run, at, linked, in_link = [], 0, 0, False
 
+    def push(tag: str, node: int, unseen: bool):
+        stack.append((tag, node, unseen))
+        open_[tag] += 1
+
+    def cut(k: int):
+        for tag, _, _ in stack[k:]:
+            open_[tag] -= 1
+        del stack[k:]
+
     def flush():
         nonlocal run, linked
         if run:
@@ -104,12 +114,14 @@ def parse(html: str) -> list[Node]:
 
     def close(names, within=()) -> bool:
         """Ends the nearest open element of these names, and all inside it, unless one of ``within`` comes first."""
+        if not any(open_[x] for x in names):
+            return False
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in within:
                 return False
             if stack[k][0] in names:
                 flush()
-                del stack[k:]
+                cut(k)
                 return True
         return False
 
@@ -119,7 +131,7 @@ def parse(html: str) -> list[Node]:
         upto = m.start() if m else end
         if upto > at:
             if stack[-1][0] == "head" and not html[at:upto].isspace():
-                stack.pop()
+                cut(len(stack) - 1)
             if not stack[-1][2]:
                 run.append(html[at:upto])
                 if in_link:
@@ -140,31 +152,31 @@ def parse(html: str) -> list[Node]:
             continue
         alone = (m[3] or m[6] or "").endswith("/")
         if stack[-1][0] == "head" and tag not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if stack[-1][2]:
             in_svg = False
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["svg"] else ():
                 if stack[k][0] in ("foreignobject", "desc"):  # holds HTML
                     break
                 if stack[k][0] == "svg":
                     in_svg = True
                     break
             if in_svg and tag in NOT_SVG:
-                del stack[k:]
+                cut(k)
             elif in_svg and alone:
                 continue
             if tag == "body":
                 while stack[-1][2]:
-                    stack.pop()
+                    cut(len(stack) - 1)
         if tag in CLOSES:  # an item ends the item before it, up to their list or table
             close(CLOSES[tag], WALLS.union(KEEP_IN.get(tag, ())))
         if tag in UNSEEN:
             flush()
             if tag in RAW:
-                ending = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                ending = re.compile(rf"</{tag}\b[^<>]*+>", re.I).search(html, at)
                 at = ending.end() if ending else end
             elif not alone:
-                stack.append((tag, stack[-1][1], True))
+                push(tag, stack[-1][1], True)
             continue
         unseen = stack[-1][2]
         if tag == "a" and not unseen:
@@ -177,14 +189,14 @@ def parse(html: str) -> list[Node]:
         if tag in VOID:
             continue
         if stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if unseen:
-            stack.append((tag, stack[-1][1], True))
+            push(tag, stack[-1][1], True)
             continue
         in_link = False
         features, mark = _attributes(tag, m[3] or m[6] or "")
         nodes.append(Node(stack[-1][1], tag, features, None, mark))
-        stack.append((tag, len(nodes) - 1, False))
+        push(tag, len(nodes) - 1, False)
     flush()
     for n in reversed(nodes):
         if n.parent >= 0:
