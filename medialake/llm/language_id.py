@@ -139,17 +139,28 @@ def mixtures(likely: np.ndarray, weight: np.ndarray, first: np.ndarray, penalty:
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64()))])
 
 
+def word_likelihoods(table_of: np.ndarray, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Log likelihoods (languages, words), so many words at a time that a long text needs no array of all its letters.
+
+    A word's sum goes from its first letter to the blank behind it, where only words' places count.
+    """
+    out = np.empty((len(table_of), len(starts)), np.float32)
+    for at in range(0, len(starts), step):
+        a, b = starts[at : at + step], ends[at : at + step] + 1
+        part = code[a[0] : b[-1]]
+        sums = np.zeros((len(table_of), len(part) + 1))
+        np.cumsum(np.where(part % SYMBOLS + part // SYMBOLS % SYMBOLS > 0, table_of[:, part], 0), axis=1, out=sums[:, 1:])
+        out[:, at : at + step] = sums[:, b - a[0]] - sums[:, a - a[0]]
+    return out
+
+
 def _predictor(langs: list[str], broadcast, penalty: float, size: int):
     def run(batches):
         table_of = broadcast.value
         for table in chunks(batches, "text", size):
             data, offsets = utf8(table.column("text"))
             starts, ends, first, code = trigrams(data, offsets)
-            values = table_of[:, code]
-            # A word's sum goes from its first letter to the blank behind it, where only words' places count.
-            sums = np.cumsum(np.where(code % SYMBOLS + code // SYMBOLS % SYMBOLS > 0, values, 0), axis=1, dtype=np.float64)
-            sums = np.concatenate([np.zeros((len(langs), 1)), sums], axis=1)
-            likely = (sums[:, ends + 1] - sums[:, starts]).astype(np.float32)
+            likely = word_likelihoods(table_of, code, starts, ends)
             pi = mixtures(likely, (ends - starts + 1).astype(np.float32), first, penalty)
             cols = [table.column("doc_id").to_pylist(), [], [], [], []]
             texts = table.column("text")
