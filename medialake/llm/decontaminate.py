@@ -110,7 +110,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     for k, (x, y) in enumerate(zip(items, passages, strict=True)):
         a[k, : len(x)], inside_a[k, : len(x)] = x, True
         b[k, : len(y)], inside_b[k, : len(y)] = y, True
-    unit = 1 << 20
+    unit = 1 << 32  # starts fit below it, and scores times it in 63 bits
     zero = unit - 1 - np.arange(w + 1)
     slope = -GAP * unit * np.arange(w + 1)
     cell = np.tile(zero, (len(items), 1))
