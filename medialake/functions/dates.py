@@ -55,3 +55,18 @@ def taken_at(day: Column, exif: Column, mtime: Column, zone: str) -> Column:
 def day_number(ts: Column) -> Column:
     """Days since 1970, -1 if unknown."""
     return F.coalesce(F.datediff(F.to_date(ts), F.lit("1970-01-01")), F.lit(-1))
+
+
+def date_bound(text: str, end: bool) -> str:
+    """The first or last second of the year or day that a text spells; any other text as it is."""
+    text = text.strip()
+    if len(text) == 4 and text.isdigit():
+        return f"{text}-12-31T23:59:59Z" if end else f"{text}-01-01T00:00:00Z"
+    return f"{text}T{'23:59:59' if end else '00:00:00'}Z" if len(text) == 10 else text
+
+
+def date_bounds(text: Column, end: bool) -> Column:
+    """The same of a column, as an instant; null if it isn't one."""
+    text = F.trim(text)
+    year, clock = ("-12-31T23:59:59Z", "T23:59:59Z") if end else ("-01-01T00:00:00Z", "T00:00:00Z")
+    return F.try_to_timestamp(F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit(year))).when(F.length(text) == 10, F.concat(text, F.lit(clock))).otherwise(text))

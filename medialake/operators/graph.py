@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medialake.storage import stored
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node reachable, itself included.
 
     Each round takes the least label among a node and its neighbours (partial minima are combined before the
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = stored(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = least.select(F.col("node").alias("up_node"), F.col("component").alias("up"))
@@ -29,4 +29,3 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         labels = jumped.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")

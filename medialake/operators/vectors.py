@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.operators.cells import stack_members
 from medialake.operators.graph import connected_components
 from medialake.storage import stored
 
@@ -80,15 +81,55 @@ def similar_pairs(rows: DataFrame, vector: str, row_id: str, least: float, block
 
 def stacks(rows: DataFrame, vector: str, row_id: str, least: float, block: int = 2000) -> DataFrame:
     """(id, stack): connected components of near-equal vectors; only rows in a stack of two or more."""
-    return connected_components(similar_pairs(rows, vector, row_id, least, block), "a", "b").withColumnsRenamed({"node": row_id, "component": "stack"})
-
-
-def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float) -> DataFrame:
+    return stack_members(rows, vector, row_id, least, block).withColumnRenamed("head", "stack")
+
+
+def _linked(least: float):
+    """Average linkage of one component: (c, root) for its weighted points (c, n, v), one best pair after the other."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("c", ignore_index=True)
+        ids, n = df["c"].to_numpy(), df["n"].to_numpy(float)
+        total = np.stack(df["v"].to_list()) * n[:, None]
+        root = np.arange(len(df))
+        s = np.round(total @ total.T / np.outer(n, n), 12)
+        s[s < least] = -np.inf
+        np.fill_diagonal(s, -np.inf)
+        best = s.argmax(1)  # of ties the smallest partner, as rows are in the order of ids
+        top, alive = s[np.arange(len(df)), best], np.ones(len(df), bool)
+        while True:
+            i = int(top.argmax())
+            if not np.isfinite(top[i]):
+                return pd.DataFrame({"c": ids, "cluster": ids[root]})
+            j = int(best[i])
+            total[i] += total[j]
+            n[i] += n[j]
+            root[root == j] = i
+            s[j], s[:, j], top[j] = -np.inf, -np.inf, -np.inf
+            alive[j] = False
+            row = np.full(len(df), -np.inf)
+            others = np.flatnonzero(alive)
+            row[others] = np.round(total[others] @ total[i] / (n[others] * n[i]), 12)
+            row[row < least] = -np.inf
+            row[i] = -np.inf
+            s[i], s[:, i] = row, row
+            again = np.flatnonzero((best == i) | (best == j))
+            again = np.append(again[again != j], i)
+            best[again] = s[again].argmax(1)
+            top[again] = s[again, best[again]]
+            closer = (row > top) | ((row == top) & (i < best) & np.isfinite(row))
+            best[closer], top[closer] = i, row[closer]
+
+    return run
+
+
+def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float, together: int = 3000) -> DataFrame:
     """(id, cluster, truncated): average linkage cut at a cosine of ``least`` (above 0, at most 1), exactly; clusters bear their smallest id.
 
     Equal vectors are one weighted point. The mean cosine of two clusters is the product of their sums of unit
     vectors over their sizes, and two clusters can reach ``least`` only where two of their members do, so only pairs of
-    clusters that reach it are stored. In each round all pairs that are nearest to one another, ties by ids, merge: the
+    clusters that reach it are stored. Components of these pairs are clustered on their own: those of up to ``together`` points
+    each in a task that merges one best pair after the other, larger ones in rounds over tables. In each round all pairs that are nearest to one another, ties by ids, merge: the
     result is that of merging one best pair at a time. A round needs joins and groupings only; there are as many as the longest
     chain of merges that wait for one another. Ids are unique; null and zero vectors stay alone. No row
     is left out: ``truncated`` is always false.
@@ -96,6 +137,11 @@ def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float) ->
     unit = rows.select(F.col(row_id).alias("id"), normed(F.col(vector)).alias("v"))
     points = stored(unit.where(F.col("v").isNotNull() & (dot(F.col("v"), F.col("v")) > 0)).groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).where("c is not null"), "points")
     edges = stored(similar_pairs(points, "v", "c", least).select("a", "b", F.round("score", 12).alias("s")), "edges")
+    member = connected_components(edges, "a", "b").withColumnsRenamed({"node": "c", "component": "of"})
+    large = stored(member.groupBy("of").count().where(F.col("count") > together).select("of"), "large")
+    small = member.join(large, "of", "left_anti").join(points, "c").select("of", "c", "n", "v")
+    local = stored(small.groupBy("of").applyInPandas(_linked(least), "c long, cluster long"), "local")
+    edges = stored(edges.join(member.join(large, "of", "left_semi").select(F.col("c").alias("a")), "a", "left_semi").select("a", "b", "s"), "edges")
     live, merged = points.select("c", "n", F.transform("v", lambda x: x * F.col("n")).alias("total")), None
     while True:
         ends = edges.select(F.col("a").alias("c"), F.col("b").alias("o"), "s").union(edges.select("b", "a", "s"))
@@ -117,7 +163,7 @@ def average_linkage(rows: DataFrame, vector: str, row_id: str, least: float) ->
         met = named.where("new").select("a", "b").distinct().join(live.toDF("a", "na", "ta"), "a").join(live.toDF("b", "nb", "tb"), "b")
         met = met.select("a", "b", F.round(dot(F.col("ta"), F.col("tb")) / (F.col("na") * F.col("nb")), 12).alias("s")).where(F.col("s") >= least)
         edges = stored(named.where("not new").select("a", "b", "s").union(met), "edges")
-    head = points.select("v", F.col("c").alias("head"))
+    head = points.join(local, "c", "left").select("v", F.coalesce("cluster", "c").alias("head"))
     if merged is None:
         labelled = head.withColumn("cluster", F.col("head"))
     else:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from medialake.operators import cells as K
 from medialake.operators import islands as I
 from medialake.operators import search as S
 from medialake.operators import vectors as V
@@ -65,3 +66,24 @@ def vc3_average(spark, sf_dir):
 def vc3_best(spark, sf_dir):
     """The same requests, each row against every example."""
     return _like_examples(spark, sf_dir, "best")
+
+
+# Near copies: every fifth vector again with its first number a tenth smaller, every tenth a third time as it is.
+COPIES = "SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, {near} FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id + 2000000, embedding FROM embeddings WHERE vec_id % 10 = 0"
+
+
+@query(
+    "vc9_near_copies",
+    f"""
+    WITH RECURSIVE c AS ({COPIES.format(near="list_prepend(embedding[1] * 0.9, embedding[2:])").replace("embedding FROM", "CAST(embedding AS DOUBLE[]) AS embedding FROM").replace("embedding[1] * 0.9", "CAST(embedding[1] AS DOUBLE) * 0.9").replace("embedding[2:]", "CAST(embedding[2:] AS DOUBLE[])")}),
+    u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS v FROM c),
+    e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND list_dot_product(a.v, b.v) >= 0.95),
+    r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+    SELECT x AS vec_id, min(y) AS head FROM r GROUP BY x
+    """,
+)
+def vc9_copies(spark, sf_dir):
+    """Stacks of near copies, each row with the head of its stack; no pairs."""
+    table(spark, sf_dir, "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as embedding").createOrReplaceTempView("embeddings")
+    near = "transform(embedding, (x, i) -> CASE WHEN i = 0 THEN x * 0.9D ELSE x END)"
+    return K.stack_members(spark.sql(COPIES.format(near=near)), "embedding", "vec_id", 0.95)

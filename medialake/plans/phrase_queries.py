@@ -21,7 +21,7 @@ QUOTED = ", ".join(f"('{k}', {'NULL' if v is None else repr(v)}, {i})" for i, (k
     oracle("v_album_names", f""", fixed(key, label, place) AS (VALUES {QUOTED}), said AS (SELECT trim({FOLD.format(t="term")}) AS key, label FROM (VALUES {", ".join(map(str, OVERRIDES))}) o(term, label) WHERE label <> ''),
     d AS (SELECT coalesce(said.key, fixed.key) AS key, coalesce(said.label, fixed.label) AS label, coalesce(place, {len(PLACES)}) AS place FROM fixed FULL JOIN said ON fixed.key = said.key WHERE coalesce(said.label, fixed.label) IS NOT NULL),
     t AS (SELECT asset_id, 0 AS nth, concat(' ', {FOLD.format(t="folder")}, ' ') AS words FROM v_album_names WHERE folder IS NOT NULL UNION ALL SELECT asset_id, 1, concat(' ', {FOLD.format(t="above")}, ' ') FROM v_album_names)
-    SELECT asset_id, arg_min(label, (nth, place, key)) AS label, arg_min(key, (nth, place, key)) AS key FROM t JOIN d ON contains(words, concat(' ', key, ' ')) GROUP BY asset_id""").replace(") , fixed", "), fixed"),
+    SELECT asset_id, arg_min(label, (nth, place, key)) AS label, arg_min(key, (nth, place, key)) AS key FROM t JOIN d ON contains(words, concat(' ', key, ' ')) GROUP BY asset_id"""),
 )
 def pr15_albums(spark, sf_dir):
     """The place that each asset's folder names, else the directory above it, with overrides and phrases of two words."""

@@ -9,6 +9,7 @@ from medialake.registry import query, table
 from medialake.sources.rules import path_rules
 from medialake.storage import shared_dir
 from medialake.streaming import jobs as J
+from medialake.streaming.changes import ChangeLog
 
 c = F.col
 RUNS = "WITH o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 10800000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS sid FROM o), s AS (SELECT event_type, sid, min(ts) AS start_at, max(ts) AS end_at, count(*) AS size FROM g GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)"
@@ -30,6 +31,33 @@ def st1(spark, sf_dir):
     return spark.read.parquet(f"{base}/rows/v={started.lastProgress['batchId']}").select("doc_id", "content", "source")
 
 
+CHANGED = """WITH s AS (SELECT doc_id, 1 AS stage, md5(text) AS content, CASE WHEN doc_id % 4 <> 0 THEN source END AS note FROM documents UNION ALL SELECT doc_id, 2, md5(concat(text, ' again')), concat('new ', source) FROM documents WHERE doc_id % 33 = 0 OR doc_id % 8 = 0
+    UNION ALL SELECT doc_id, 3, md5(text), '' FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 4, md5(concat(text, ' later')), 'late' FROM documents WHERE doc_id % 50 = 3 UNION ALL SELECT doc_id + 10000000, 4, md5(text), source FROM documents WHERE doc_id % 20 = 0)"""
+
+
+@query("st1_change_log", CHANGED + " SELECT doc_id, max(stage) AS stage, arg_max(content, stage) AS content, coalesce(arg_min(note, stage) FILTER (note IS NOT NULL AND note <> ''), arg_max(note, stage)) AS note FROM s GROUP BY doc_id")
+def st1_log(spark, sf_dir):
+    """Documents that arrive in four stages, some changed, some again as they were, some new: several batches, a compaction between them, and the table after all."""
+    base = f"{shared_dir(spark).rstrip('/')}/changes-{uuid.uuid4().hex}"
+    docs, content = table(spark, sf_dir, "documents"), lambda more="": F.md5(F.concat("text", F.lit(more)))
+    stages = [
+        docs.select("doc_id", F.lit(1).alias("stage"), content().alias("content"), F.when(c("doc_id") % 4 != 0, c("source")).alias("note")),
+        docs.where("doc_id % 33 = 0 or doc_id % 8 = 0").select("doc_id", F.lit(2), content(" again"), F.concat(F.lit("new "), "source")),
+        docs.where("doc_id % 7 = 0").select("doc_id", F.lit(3), content(), F.lit("")),
+        docs.where("doc_id % 50 = 3").select("doc_id", F.lit(4), content(" later"), F.lit("late")).union(docs.where("doc_id % 20 = 0").select(c("doc_id") + 10_000_000, F.lit(4), content(), "source")),
+    ]
+    schema = stages[0].schema
+    log = ChangeLog(f"{base}/table", schema, "doc_id", "stage", ("note",), buckets=8)
+    for number, rows in enumerate(stages):
+        rows.toDF(*schema.names).write.mode("append").parquet(f"{base}/inbox")
+        if number in (1, 3):
+            inbox = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/inbox")
+            log.ingest(inbox, f"{base}/state").awaitTermination()
+        if number == 1:
+            log.compact(spark)
+    return log.current(spark)
+
+
 @query("st2_stream_sessions", BY_USER + " SELECT user_id, start_at, end_at + INTERVAL 3 HOUR AS closes_at, size FROM s, m WHERE end_at + INTERVAL 3 HOUR <= mark")
 def st2(spark, sf_dir):
     """The sessions of each user that the watermark, a day behind the newest row, has closed."""

@@ -98,7 +98,8 @@ def test_linkage_leaves_no_row_out(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want)) and all(k == min(v) for k, v in found.items())
 
 
-def test_linkage_by_rounds_is_that_of_single_merges(spark):
+@pytest.mark.parametrize("together", [3000, 5])
+def test_linkage_by_rounds_is_that_of_single_merges(spark, together):
     r = np.random.default_rng(11)
     x = r.normal(size=(1, 6)) + 0.9 * r.normal(size=(48, 6))
     x[40:] = x[:8]  # copies weigh
@@ -111,10 +112,18 @@ def test_linkage_by_rounds_is_that_of_single_merges(spark):
         if best[0] < 0.5:
             break
         label[-best[1]] += label.pop(-best[2])
-    got = {row.id: row.cluster for row in vectors.average_linkage(df, "v", "id", 0.5).collect()}
+    got = {row.id: row.cluster for row in vectors.average_linkage(df, "v", "id", 0.5, together).collect()}
     assert got == {i: min(p) for p in label.values() for i in p} and 1 < len(label) < 40
 
 
+def test_linkage_of_many_groups_in_both_ways(spark):
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(25, 8)), 12, axis=0) + 0.35 * r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    both = [{row.id: row.cluster for row in vectors.average_linkage(df, "v", "id", 0.6, together).collect()} for together in (3000, 9)]
+    assert both[0] == both[1] and 10 < len(set(both[0].values())) < 150
+
+
 def test_tokens_are_resolved_in_three_tiers(spark):
     people = [("p1", "Anna Berg"), ("p2", "Bo Annan"), ("p3", "Hanna-Lee"), ("p4", "Li"), ("xy", "Zoë #12"), ("p6", None)]
     tokens = ["anna berg", "P2", "ann", "an", "b", "li", "l", "nn", "erg", "annal", "na-l", "ë", "12", "q", "zzz", "", None, "ERG", "a b", "p"]
