@@ -14,27 +14,29 @@ from pyspark.sql import functions as F
 from medialake.storage import stored
 
 
-def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, sample: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, ranges: int | None = None, sample: int | None = None, rows_each: int = 1_000_000) -> DataFrame:
     """Puts each row into a shard: ``doc_id, size, text_crc32, shard, slot``.
 
     Size: UTF-8 bytes of the text (null: none) plus 1. The bytes of two shards differ by at most two records;
-    ``slot`` is gapless from 0 in each shard. ``sample`` is the expected number of keys drawn. An overfull range
+    ``slot`` is gapless from 0 in each shard. There are ``ranges`` ranges (default: 256, or so many that a mean one has
+    ``rows_each`` records); ``sample`` is the expected number of keys drawn (default: 50,000, or 200 a range). An overfull range
     holds more than twice the mean; it is subdivided by the hash of the id. A range at most twice the mean is
     the largest thing that one task sorts.
 
-    Null texts count as empty; null ids are ordinary ids; repeated rows are rows of their own. Empty table: empty
+    Null texts count as empty; null ids are ordinary ids, but of many records without one each has a hash of its own; repeated rows are rows of their own. Empty table: empty
     result. Other columns are ignored.
     """
     body = F.coalesce("text", F.lit(""))
-    rows = stored(docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("key"), F.xxhash64("doc_id").alias("salt")), "records")
-    total = rows.agg(F.sum("size")).first()[0]
+    rows = stored(docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.xxhash64(body).alias("key"), F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("salt")), "records")
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    side = int(ranges**0.5 + 0.999)
+    side = int((ranges or max(256, n // rows_each)) ** 0.5 + 0.999)
     ranges = side * side
+    sample = sample or max(50_000, 200 * ranges)
     # A record is drawn with a chance in proportion to its size, decided by a hash of the record.
     chance = F.least(F.lit(1.0), F.col("size") * (sample / total))
-    drawn = rows.where(F.expr("pmod(xxhash64(doc_id, key, 'draw'), 1000000) / 1000000.0") < chance)
+    drawn = rows.where(F.pmod(F.xxhash64("salt", "key", F.lit("draw")), F.lit(1 << 53)) / F.lit(float(1 << 53)) < chance)
     cuts = drawn.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")).first()["cuts"] or []
     cuts += [2**63 - 1] * (ranges - len(cuts))
     coarse, fine = F.array(*map(F.lit, cuts[side - 1 :: side])), F.array(*map(F.lit, cuts))

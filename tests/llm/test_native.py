@@ -107,6 +107,15 @@ def test_shards_with_one_hot_text(spark):
     assert max(sums) - min(sums) <= 2 * 2501
 
 
+def test_shards_of_one_text_without_ids(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'same text' as text").repartition(3)
+    rows = sharding.shard(docs, 8, ranges=16).collect()
+    sums = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert len(rows) == 4000 and max(sums) - min(sums) <= 20
+    few = sharding.shard(docs, 8, rows_each=3).collect()  # over a thousand ranges
+    assert len(few) == 4000 and all(sorted(r.slot for r in few if r.shard == s) == list(range(500)) for s in range(8))
+
+
 def test_shards_of_nothing_and_nulls(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
     rows = sharding.shard(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], DOCS)).collect()
