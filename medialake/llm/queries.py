@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from medialake.llm import hamming_search, secrets, sharding, turns, url_filter
+from medialake.llm import hamming_search, oracles, secrets, sharding, turns, url_filter
 from medialake.llm.decontaminate import contaminated
 from medialake.llm.html_extract import extract
 from medialake.llm.language_id import identify
@@ -108,7 +108,7 @@ URL_RULES = [
 ]
 
 
-@query("op7_url_filter")
+@query("op7_url_filter", oracles.OP7)
 def op7_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -160,12 +160,12 @@ def op11_source_mixing(spark, sf_dir):
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op13_spelling_variants")
+@query("op13_spelling_variants", oracles.OP13)
 def op13_spelling_variants(spark, sf_dir):
     return variants(_documents(spark, sf_dir), least=6, often=5, every=199, share=5)
 
 
-@query("op12_conversation_repair")
+@query("op12_conversation_repair", oracles.OP12)
 def op12_conversation_repair(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.report(conversations, turns.damaged(conversations))
