@@ -94,6 +94,40 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, least: float | None = N
     return ranked(found[0] if found else spark.createDataFrame([], schema), k)
 
 
+def counted(queries: DataFrame, rows: DataFrame, least: float, block: int = 2000) -> DataFrame:
+    """(query_id, n): how many ``rows`` (id, v; unit vectors) other than itself have a dot product of at least ``least`` with each query (id, v); tasks send one number a query.
+
+    Null ids or vectors are left out; a query without such rows has 0.
+    """
+    spark = rows.sparkSession
+    asked = queries.where("id is not null and v is not null").select("id", "v").distinct()
+    n = -(-asked.count() // block) or 1
+
+    def parts():
+        for part in range(n):
+            mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == part).orderBy("id").collect()  # about ``block`` rows
+            if mine:
+                shared = spark.sparkContext.broadcast((np.array([r["id"] for r in mine], np.int64), np.array([r["v"] for r in mine], float)))
+                yield rows.where("id is not null and v is not null").select("id", "v").mapInPandas(_above(shared, least), "query_id long, n long")
+
+    found = gathered(spark, parts(), "query_id long, n long") if asked.limit(1).count() else spark.createDataFrame([], "query_id long, n long")
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def _above(shared, least: float):
+    def run(batches):
+        ids, wanted = shared.value
+        n = np.zeros(len(ids), np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                part = batch.iloc[at : at + BATCH]
+                near = wanted @ np.stack(part["v"].to_numpy()).T >= least
+                n += near.sum(1) - (near & (ids[:, None] == part["id"].to_numpy()[None, :])).sum(1)
+        yield pd.DataFrame({"query_id": ids, "n": n})
+
+    return run
+
+
 def thinned(ids: DataFrame, of: list[str], order: str, most: int = 64) -> DataFrame:
     """At most ``most`` rows of each group, evenly over its order: of n rows those at i * n / most, rounded down."""
     whole = Window.partitionBy(*of)

@@ -87,3 +87,26 @@ def vc9_copies(spark, sf_dir):
     table(spark, sf_dir, "embeddings").selectExpr("vec_id", "cast(embedding as array<double>) as embedding").createOrReplaceTempView("embeddings")
     near = "transform(embedding, (x, i) -> CASE WHEN i = 0 THEN x * 0.9D ELSE x END)"
     return K.stack_members(spark.sql(COPIES.format(near=near)), "embedding", "vec_id", 0.95)
+
+
+UNITS = "WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)"
+
+
+def _units(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", V.normed(F.col("embedding").cast("array<double>")).alias("v"))
+
+
+@query("vc1_filtered_top_k", UNITS + ", s AS (SELECT q.vec_id AS query_id, u.vec_id, list_dot_product(q.v, u.v) AS s FROM u q, u WHERE q.vec_id % 100 = 0 AND q.vec_id <> u.vec_id AND u.label <> 3 AND list_dot_product(q.v, u.v) >= 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(s, 6) AS score FROM r WHERE rank <= 20")
+def vc1_many(spark, sf_dir):
+    """The 20 nearest rows of other labels than one, with a least score, of every row whose id is divisible by 100."""
+    rows = _units(spark, sf_dir)
+    found = S.nearest(rows.where("id % 100 = 0").select("id", "v"), rows.where("label <> 3").select("id", "v"), 20, least=0.05)
+    return found.select("query_id", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query("vc5_lookalikes_of_many", UNITS + ", s AS (SELECT q.vec_id AS query_id, count(*) FILTER (q.vec_id <> u.vec_id AND list_dot_product(q.v, u.v) >= 0.2) AS n FROM u q, u WHERE q.vec_id % 100 = 0 GROUP BY 1) SELECT query_id, least(n, 5) AS shown, n > 5 AS capped, n FROM s")
+def vc5_many(spark, sf_dir):
+    """How many rows look like each row whose id is divisible by 100, and how many of them are shown."""
+    rows = _units(spark, sf_dir).select("id", "v")
+    n = S.counted(rows.where("id % 100 = 0"), rows, 0.2)
+    return n.select("query_id", F.least("n", F.lit(5).cast("long")).alias("shown"), (F.col("n") > 5).alias("capped"), "n")

@@ -30,5 +30,5 @@ def load() -> None:
     """Imports every module that registers queries."""
     import importlib
 
-    for name in ("event_queries", "column_queries", "filter_queries", "report_queries", "vector_queries", "curation_queries", "more_queries", "date_queries", "card_queries", "note_queries", "series_queries", "stream_queries", "repair_queries", "map_queries", "fold_queries", "phrase_queries", "audit_queries", "people_queries", "reingest_queries", "keyword_queries"):
+    for name in ("event_queries", "column_queries", "filter_queries", "report_queries", "vector_queries", "curation_queries", "more_queries", "date_queries", "card_queries", "note_queries", "series_queries", "stream_queries", "repair_queries", "map_queries", "fold_queries", "phrase_queries", "audit_queries", "people_queries", "reingest_queries", "keyword_queries", "detail_queries"):
         importlib.import_module(f"medialake.plans.{name}")
