@@ -44,20 +44,20 @@ def ag2_list(spark, sf_dir):
     return L.people_list(named, meta).withColumn("place", F.row_number().over(order).cast("long")).select("person_id", "name", "faces", "cover", "aliases", "rank", "place")
 
 
-SQL["v_dated"] = f"SELECT asset_id, CASE asset_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '2014' WHEN 2 THEN '2014-13-01' ELSE concat(CAST(2010 + asset_id % 9 AS VARCHAR(9)), '-', lpad(CAST(1 + asset_id % 12 AS VARCHAR(9)), 2, '0'), '-', lpad(CAST(1 + asset_id % 28 AS VARCHAR(9)), 2, '0')) END AS date, CASE WHEN asset_id % 5 < 4 THEN CAST(asset_id % 5 AS DOUBLE) * 0.3 END AS confidence FROM ({SQL['v_paths']}) p"
+SQL["v_told_dates"] = f"SELECT asset_id, CASE asset_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '2014' WHEN 2 THEN '2014-13-01' ELSE concat(CAST(2010 + asset_id % 9 AS VARCHAR(9)), '-', lpad(CAST(1 + asset_id % 12 AS VARCHAR(9)), 2, '0'), '-', lpad(CAST(1 + asset_id % 28 AS VARCHAR(9)), 2, '0')) END AS date, CASE WHEN asset_id % 5 < 4 THEN CAST(asset_id % 5 AS DOUBLE) * 0.3 END AS confidence FROM ({SQL['v_paths']}) p"
 
 
-@query("pr18_sure_dates", oracle("v_dated", f", d AS (SELECT *, try_cast(substr(date, 6, 2) AS INT) AS m, try_cast(substr(date, 9, 2) AS INT) AS day, coalesce(confidence, 1) AS sure FROM v_dated), n AS (SELECT *, {list(T.MONTHS)}[m] AS name FROM d) SELECT asset_id, CASE WHEN date IS NULL THEN NULL WHEN length(date) < 10 OR m NOT BETWEEN 1 AND 12 THEN left(date, 4) WHEN sure >= 0.9 THEN concat(day, '. ', name, ' ', left(date, 4)) WHEN sure >= 0.6 THEN concat(name, ' ', left(date, 4)) ELSE concat('um ', name, ' ', left(date, 4)) END AS text, CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m IN (3, 4, 5) THEN 'Frühling' WHEN m IN (6, 7, 8) THEN 'Sommer' WHEN m IN (9, 10, 11) THEN 'Herbst' END AS season FROM n"))
+@query("pr18_sure_dates", oracle("v_told_dates", f", d AS (SELECT *, try_cast(substr(date, 6, 2) AS INT) AS m, try_cast(substr(date, 9, 2) AS INT) AS day, coalesce(confidence, 1) AS sure FROM v_told_dates), n AS (SELECT *, {list(T.MONTHS)}[m] AS name FROM d) SELECT asset_id, CASE WHEN date IS NULL THEN NULL WHEN length(date) < 10 OR m NOT BETWEEN 1 AND 12 THEN left(date, 4) WHEN sure >= 0.9 THEN concat(day, '. ', name, ' ', left(date, 4)) WHEN sure >= 0.6 THEN concat(name, ' ', left(date, 4)) ELSE concat('um ', name, ' ', left(date, 4)) END AS text, CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m IN (3, 4, 5) THEN 'Frühling' WHEN m IN (6, 7, 8) THEN 'Sommer' WHEN m IN (9, 10, 11) THEN 'Herbst' END AS season FROM n"))
 def pr18_dates(spark, sf_dir):
     """Dates as sure as they are, and their seasons."""
-    return view(spark, sf_dir, "v_dated").select("asset_id", L.date_text(c("date"), c("confidence")).alias("text"), L.season_text(c("date")).alias("season"))
+    return view(spark, sf_dir, "v_told_dates").select("asset_id", L.date_text(c("date"), c("confidence")).alias("text"), L.season_text(c("date")).alias("season"))
 
 
-@query("pr14_any_bounds", oracle("v_dated", "SELECT asset_id, CASE WHEN length(date) = 4 THEN make_timestamp(CAST(date AS INT), 1, 1, 0, 0, 0) ELSE CAST(try_cast(date AS DATE) AS TIMESTAMP) END AS low, CASE WHEN length(date) = 4 THEN make_timestamp(CAST(date AS INT), 12, 31, 23, 59, 59) ELSE CAST(try_cast(date AS DATE) AS TIMESTAMP) + INTERVAL '23 hours 59 minutes 59 seconds' END AS high FROM v_dated"))
+@query("pr14_any_bounds", oracle("v_told_dates", "SELECT asset_id, CASE WHEN length(date) = 4 THEN make_timestamp(CAST(date AS INT), 1, 1, 0, 0, 0) ELSE CAST(try_cast(date AS DATE) AS TIMESTAMP) END AS low, CASE WHEN length(date) = 4 THEN make_timestamp(CAST(date AS INT), 12, 31, 23, 59, 59) ELSE CAST(try_cast(date AS DATE) AS TIMESTAMP) + INTERVAL '23 hours 59 minutes 59 seconds' END AS high FROM v_told_dates"))
 def pr14_any(spark, sf_dir):
     """The first and last second of years and days; what is neither has none."""
     bound = lambda end, name: D.date_bounds(c("date"), end).cast("timestamp_ntz").alias(name)
-    return view(spark, sf_dir, "v_dated").select("asset_id", bound(False, "low"), bound(True, "high"))
+    return view(spark, sf_dir, "v_told_dates").select("asset_id", bound(False, "low"), bound(True, "high"))
 
 
 @query("pr26_half_even_quality", oracle("v_faces", "SELECT face_id, round_even(coalesce(frontality, 0.5) * score * least(1.0, px / 80.0), 4) AS quality FROM v_faces"))

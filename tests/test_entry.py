@@ -18,3 +18,12 @@ def test_import_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     assert count(tmp_path) <= count(ROOT)
     assert count(tmp_path) > 100
+
+
+def test_views_have_one_meaning():
+    import re
+    from collections import Counter
+    from pathlib import Path
+
+    named = Counter(name for f in (Path(__file__).resolve().parents[1] / "medialake").rglob("*.py") for name in re.findall(r'(?m)^(?:SQL\["(v_\w+)"\] =|    "(v_\w+)":)', f.read_text()))
+    assert named and max(named.values()) == 1

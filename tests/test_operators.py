@@ -4,6 +4,7 @@ import re
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from medialake.functions import paths
