@@ -8,7 +8,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def crc32_sql(text: str) -> str:
-    """The crc32 of a text of ASCII and letters up to U+00FF, bit by bit."""
+    """The crc32 of a text, not empty, of ASCII and letters up to U+00FF, bit by bit."""
     data = f"list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END).flatten()"
     step = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda a, b: {step}), 4294967295::BIGINT)"

@@ -24,5 +24,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_checksums_in_sql():
-    for text in ("", "12:größe", "7:ÿÀ", "9" * 40):
+    for text in ("1", "12:größe", "7:ÿÀ", "9" * 40):
         assert duckdb.connect().execute(f"SELECT {oracles.crc32_sql(chr(39) + text + chr(39))}").fetchone()[0] == zlib.crc32(text.encode())
