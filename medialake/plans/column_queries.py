@@ -147,5 +147,6 @@ def pr12(spark, sf_dir):
 @query("pr29_frame_requests", oracle("v_paths", "SELECT asset_id, list_sort(list_distinct(CASE WHEN d < 3 THEN [round(d / 2, 3)] ELSE [round(d * 0.1, 3), round(d * 0.5, 3), round(d * 0.9, 3)] END)) AS offsets FROM (SELECT asset_id, size / 1000.0 AS d FROM v_paths WHERE path LIKE '%.mp4')"))
 def pr29(spark, sf_dir):
     d = F.col("size") / 1000.0
-    offsets = F.when(d < 3, F.array(F.round(d / 2, 3))).otherwise(F.transform(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), lambda x: F.round(d * x, 3)))
+    millis = lambda x: F.round(x * 1000) / 1000  # noqa: E731  # of the binary number, as SQL does; round(x, 3) goes by the decimals that are printed
+    offsets = F.when(d < 3, F.array(millis(d / 2))).otherwise(F.transform(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), lambda x: millis(d * x)))
     return view(spark, sf_dir, "v_paths").where(P.kind(F.col("path")) == "video").select("asset_id", F.sort_array(F.array_distinct(offsets)).alias("offsets"))

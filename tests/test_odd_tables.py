@@ -25,3 +25,8 @@ def against(spark, folder, name, tables):
 
 def test_cover_of_a_person_weighs_score_against_id(spark, tmp_path):
     assert against(spark, tmp_path, "ag2_people", {"embeddings": VECTORS})[0][0] == 48
+
+
+def test_offsets_are_rounded_as_binary_numbers(spark, tmp_path):
+    sizes = {"documents": "SELECT 5 + 8 * n AS doc_id, 's' AS source, '' AS text, n_chars FROM (VALUES (0, 8149), (1, 1013), (2, 1015), (3, 3005), (4, 0), (5, 2999)) v(n, n_chars)"}
+    assert (8149 / 1000 * 0.5 > 4.0745) is False and len(against(spark, tmp_path, "pr29_frame_requests", sizes)) == 6
