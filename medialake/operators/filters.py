@@ -8,6 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.operators.substrings import holding, lengths_of, sized, starts
+from medialake.storage import stored
+
 
 def leaf(field: str, value: Any, columns: dict[str, str], day: str = "taken_at") -> Column | None:
     """One condition; unknown fields and empty values say nothing. Array columns hold any of their values."""
@@ -49,29 +52,25 @@ def media_scope(kinds: list[str], kind: str = "kind") -> Column:
     return F.coalesce(kind, F.lit("photo")).isin(*kinds)
 
 
-def _grams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
 def resolved(tokens: DataFrame, people: DataFrame) -> DataFrame:
     """Which people a token names: an exact id or name, else a word's start, else any part; only the best tier counts.
 
     tokens: token; people: id, name. Unknown and empty tokens come back with a null id. Tokens meet the starts of words, of
-    every length; those still unknown meet the names that hold their rarest run of three letters (or, if shorter, the token).
+    those lengths that some token has; those still unknown meet names by ``holding``.
     """
     named = people.select("id", F.coalesce(F.lower("name"), F.lit("")).alias("name"))
-    words = named.select("id", "name", F.explode(F.array_distinct(F.concat(F.array("name", F.lower("id")), F.split("name", r"[\s#-]+")))).alias("word")).where("word <> ''")
-    starts = words.select("id", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("folded"))
-    t = tokens.select("token", F.lower("token").alias("folded")).where("folded <> ''").distinct()
+    t = stored(tokens.select("token", F.lower("token").alias("folded")).where("folded <> ''").distinct(), "asked")
+    words = F.concat(F.array("name", F.lower("id")), F.split("name", r"[\s#-]+"))
+    begun = named.select("id", "name", F.explode(starts(words, lengths_of(t, "folded"))).alias("folded"))
     tier = F.when((F.col("folded") == F.col("name")) | (F.col("folded") == F.lower("id")), 1).otherwise(2)
-    tiers = t.join(starts, "folded").groupBy("token", "id").agg(F.min(tier).alias("tier"))
-    best = tiers.join(tiers.groupBy("token").agg(F.min("tier").alias("tier")), ["token", "tier"])
-    grams = named.select("id", "name", F.explode(F.array_distinct(F.concat(*(_grams(F.col("name"), n) for n in (1, 2, 3))))).alias("gram"))
-    unknown = t.join(tiers.select("token").distinct(), "token", "left_anti")
-    keys = unknown.select("token", "folded", F.explode(F.when(F.length("folded") < 3, F.array("folded")).otherwise(_grams(F.col("folded"), 3))).alias("gram"))
-    rarest = keys.join(grams.groupBy("gram").count(), "gram", "left").groupBy("token", "folded").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("x"))
-    inside = rarest.select("token", "folded", F.col("x.gram").alias("gram")).join(grams, "gram").where(F.col("name").contains(F.col("folded"))).select("token", "id", F.lit(3).alias("tier")).distinct()
-    return tokens.join(best.select("token", "id", "tier").union(inside), "token", "left").select("token", "id", "tier")
+    tiers = stored(begun.join(sized(t), "folded").groupBy("token", "id").agg(F.min(tier).alias("tier")), "tiers")
+    least = stored(tiers.groupBy("token").agg(F.min("tier").alias("tier")), "least")
+    best = tiers.join(sized(least), ["token", "tier"])
+    unknown = stored(t.join(sized(least.select("token")), "token", "left_anti"), "unknown")
+    side = F.lit(False).alias("side")
+    inside = holding(unknown.select(F.col("folded").alias("part"), side), named.select("id", F.col("name").alias("x"), side))
+    inside = inside.withColumnRenamed("part", "folded").join(sized(unknown), "folded").select("token", "id", F.lit(3).alias("tier")).distinct()
+    return tokens.join(best.select("token", "id", "tier").union(inside).hint("merge"), "token", "left").select("token", "id", "tier")
 
 
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
