@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions.dates import date_bound
 from medialake.operators.filters import media_scope, visible
+from medialake.operators.substrings import holding, lengths_of, sized, starts
 from medialake.storage import stored
 
 # Words that a search leaves out.
@@ -68,33 +69,29 @@ def resolve_people(tokens: DataFrame, people: DataFrame) -> DataFrame:
 
     The first tier that anyone reaches counts: 1 exactly the id, name or an alias; 2 the start of a word of the name, of an alias, or, with blanks as hyphens, of the id or a part of it; 3 any
     part of a name, id or alias. Starts are met by equality: only those of lengths that some token has are made. Tokens of the last tier
-    meet the texts that hold their rarest run of three letters. Case is ignored; null aliases are skipped.
+    meet texts by ``holding``. Case is ignored; null aliases are skipped.
     """
     asked = tokens.select("token", F.lower(F.trim("token")).alias("t")).where("t <> ''").distinct().withColumn("slug", F.replace("t", F.lit(" "), F.lit("-")))
+    asked = stored(asked, "asked")
     aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)), lambda a: a != "")
     known = people.where("id is not null").select("id", F.lower(F.coalesce("name", "id")).alias("name"), aliases.alias("aliases"))
     known = known.withColumn("texts", F.concat(F.array("name"), F.col("aliases")))
     exact = known.select("id", F.explode(F.array_distinct(F.concat(F.array("id"), F.col("texts")))).alias("t"))
-    first = asked.join(exact, "t").select("token", "id", F.lit(1).alias("tier")).distinct()
-
-    lengths = [r[0] for r in asked.select(F.explode(F.array(F.length("t"), F.length("slug")))).distinct().orderBy("col").collect()]  # lengths of tokens, few
-    starts = lambda words: F.flatten(F.transform(words, lambda w: F.filter(F.transform(F.array(*map(F.lit, lengths or [1])), lambda n: F.when(F.length(w) >= n, F.substring(w, F.lit(1), n))), lambda x: x.isNotNull())))
-    rest = asked.join(first.select("token").distinct(), "token", "left_anti")
-    by_text = known.select("id", F.explode(F.array_distinct(starts(F.concat(F.split("name", r"\s+"), F.col("aliases"))))).alias("t"))
-    by_id = known.select("id", F.explode(F.array_distinct(starts(F.concat(F.array("id"), F.split("id", "-"))))).alias("slug"))
-    second = rest.join(by_text, "t").select("token", "id").union(rest.join(by_id, "slug").select("token", "id")).distinct().withColumn("tier", F.lit(2))
+    first = stored(exact.join(sized(asked), "t").select("token", "id", F.lit(1).alias("tier")).distinct(), "exact")
+
+    without = lambda left, found: left.join(sized(stored(found.select("token").distinct(), "met")), "token", "left_anti")
+    rest = stored(without(asked, first), "rest")
+    by_text = known.select("id", F.explode(starts(F.concat(F.split("name", r"\s+"), F.col("aliases")), lengths_of(rest, "t"))).alias("t"))
+    by_id = known.select("id", F.explode(starts(F.concat(F.array("id"), F.split("id", "-")), lengths_of(rest, "slug"))).alias("slug"))
+    second = by_text.join(sized(rest), "t").select("token", "id").union(by_id.join(sized(rest), "slug").select("token", "id")).distinct().withColumn("tier", F.lit(2))
     second = stored(second, "starts")
 
-    rest = stored(rest.join(second.select("token").distinct(), "token", "left_anti"), "unknown")
-    grams = lambda text, n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    held = known.select("id", F.explode(F.concat(F.transform("texts", lambda x: F.struct(x.alias("x"), F.lit(False).alias("by_id"))), F.array(F.struct(F.col("id").alias("x"), F.lit(True).alias("by_id"))))).alias("s")).select("id", "s.x", "s.by_id")
-    keyed = held.select("id", "x", "by_id", F.explode(F.array_distinct(F.concat(*(grams(F.col("x"), n) for n in (1, 2, 3))))).alias("gram"))
-    wanted = rest.select("token", F.explode(F.array(F.struct(F.col("t").alias("x"), F.lit(False).alias("by_id")), F.struct(F.col("slug").alias("x"), F.lit(True).alias("by_id")))).alias("w")).select("token", F.col("w.x").alias("part"), "w.by_id")
-    wanted = wanted.select("token", "part", "by_id", F.explode(F.when(F.length("part") < 3, F.array("part")).otherwise(grams(F.col("part"), 3))).alias("gram"))
-    often = keyed.join(wanted.select("gram").distinct(), "gram").groupBy("gram", "by_id").count()
-    rarest = wanted.join(often, ["gram", "by_id"], "left").groupBy("token", "part", "by_id").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("r")).select("token", "part", "by_id", F.col("r.gram").alias("gram"))
-    third = rarest.join(keyed, ["gram", "by_id"]).where(F.col("x").contains(F.col("part"))).select("token", "id", F.lit(3).alias("tier")).distinct()
-    return tokens.select("token").distinct().join(first.union(second).union(third), "token", "left")
+    rest = stored(without(rest, second), "unknown")
+    held = known.select("id", F.explode(F.concat(F.transform("texts", lambda x: F.struct(x.alias("x"), F.lit(False).alias("side"))), F.array(F.struct(F.col("id").alias("x"), F.lit(True).alias("side"))))).alias("s")).select("id", "s.x", "s.side")
+    wanted = rest.select("token", F.explode(F.array(F.struct(F.col("t").alias("part"), F.lit(False).alias("side")), F.struct(F.col("slug").alias("part"), F.lit(True).alias("side")))).alias("w")).select("token", "w.part", "w.side")
+    wanted = stored(wanted, "wanted")
+    third = holding(wanted.select("part", "side"), held).join(sized(wanted), ["part", "side"]).select("token", "id", F.lit(3).alias("tier")).distinct()
+    return tokens.select("token").distinct().join(first.union(second).union(third).hint("merge"), "token", "left")
 
 
 def search(rows: DataFrame, form: SearchForm, people: DataFrame | None = None, row_id: str = "asset_id", person_ids: str = "person_ids", day: str = "taken_at") -> DataFrame:

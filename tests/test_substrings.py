@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from medialake.operators import filters, substrings
+from medialake.operators import filters, search_form, substrings
 
 
 @pytest.mark.parametrize(("few", "run"), [(0, 6), (100_000, 3), (3, 1)])
@@ -25,6 +25,6 @@ def test_no_exploded_table_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(substrings.sized, "__defaults__", (10,))
     people = spark.range(3000).selectExpr("concat('c-', id) id", "concat('Customer#', lpad(id, 9, '0')) name", "array(concat('Nick ', id)) aliases")
     tokens = people.selectExpr("CASE WHEN hash(id) % 3 = 0 THEN name WHEN hash(id) % 3 = 1 THEN substr(name, 13) ELSE concat('zz', id) END token").distinct()
-    for found in (filters.resolved(tokens, people),):
+    for found in (filters.resolved(tokens, people), search_form.resolve_people(tokens, people)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.count() >= 3000
