@@ -32,7 +32,7 @@ def test_no_exploded_table_is_broadcast(spark, monkeypatch):
 
 def test_a_name_that_nobody_has_broadcasts_no_people(spark, monkeypatch):
     """The form's two persons: a start of many names, and an unknown one, which is looked for in all texts."""
-    monkeypatch.setattr(substrings.sized, "__defaults__", (0,))
+    monkeypatch.setattr(substrings.sized, "__defaults__", (-1,))
     people = spark.range(3000).selectExpr("concat('c-', id) id", "concat('Customer#', lpad(id, 9, '0')) name", "array('') aliases")
     found = search_form.resolve_people(spark.createDataFrame([("Customer#00000000",), ("NOBODY",)], "token string"), people)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
