@@ -13,6 +13,9 @@ from medialake.operators.graph import connected_components
 from medialake.storage import stored
 
 SLACK = 1e-7  # on all bounds, for rounding
+STRIP = 2000  # rows of each side that are multiplied at once
+BLOCKS = 32  # cells, or blocks of a cell, from which on these grow rather than their number
+MOST_ROWS = 50_000  # of a block; with 64 places about 30 MB
 
 
 def pivots(heads: DataFrame, n: int, sample: int = 16, rounds: int = 4) -> np.ndarray:
@@ -78,8 +81,13 @@ def _pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.nda
 
 def _forest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pd.DataFrame:
     """For each linked row the smallest id that it reaches within the two blocks; no more rows than there are, however many pairs."""
-    ids, where = np.unique(np.concatenate([a[x], b[y]]), return_inverse=True)
-    p, q = where[: len(x)], where[len(x) :]
+    return _tree(a[x], b[y])
+
+
+def _tree(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """For each end of the links (a, b) but the smallest of its component a link to that one."""
+    ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = where[: len(a)], where[len(a) :]
     label = np.arange(len(ids))
     while True:
         low = np.minimum(label[p], label[q])
@@ -94,16 +102,62 @@ def _forest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.nd
     return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked], "score": np.ones(len(linked))})
 
 
-def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, most_cells: int = 4096) -> DataFrame:
+def _guests(shared, least: float):
+    """How many vectors visit each cell."""
+
+    def run(batches):
+        n = np.zeros(len(shared.value[0]), np.int64)
+        for df in _visits(shared, least)(batches):
+            np.add.at(n, df["cell"].to_numpy(), 1)
+        cell = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": cell, "n": n[cell]})
+
+    return run
+
+
+def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> pd.DataFrame:
+    """(a, b, score) by ``shape`` for the rows of two blocks (id, v) that reach ``least``; ``same``: the block meets itself.
+
+    A strip of ``x`` and one of ``y`` are multiplied at a time, so that a task holds two blocks, 4 million scores and what it has found.
+    """
+    found = []
+    for i in range(0, len(x["id"]), STRIP):
+        for j in range(0, len(y["id"]), STRIP):
+            if same and j + STRIP <= i:
+                continue
+            s = x["v"][i : i + STRIP] @ y["v"][j : j + STRIP].T
+            p, q = np.nonzero(s >= least - 1e-12)
+            a, b = x["id"][i : i + STRIP], y["id"][j : j + STRIP]
+            if same:
+                one = p + i < q + j
+                p, q = p[one], q[one]
+            if len(p):
+                found.append(shape(p, q, a, b, s))
+    if not found:
+        return pd.DataFrame({"a": [], "b": [], "score": []})
+    out = pd.concat(found, ignore_index=True)
+    return _tree(out["a"].to_numpy(), out["b"].to_numpy()) if shape is _forest else out  # the strips' trees are one
+
+
+def block_rows(n: int, least_rows: int, blocks: int = BLOCKS, most_rows: int = MOST_ROWS) -> int:
+    """Rows of a block: with more than ``blocks`` blocks of ``least_rows`` the blocks grow, not their number, up to what a task holds.
+
+    So a vector is sent to at most about ``blocks`` tasks, and what is shuffled grows as the rows do (up to ``blocks * most_rows`` rows).
+    """
+    return min(max(least_rows, -(-n // blocks)), max(least_rows, most_rows))
+
+
+def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, most_cells: int = BLOCKS) -> DataFrame:
     """(a, b, score) by ``shape`` for the distinct unit vectors ``heads`` (id, v) with a dot product of at least ``least``, above 0.
 
     There is a cell for every ``per_cell`` vectors, up to ``most_cells``. A vector is sent to its own cell and visits those above it in which its bounds
-    leave a partner possible. A cell's vectors are dealt in blocks of ``per_cell``, and each two blocks are a task, so a
-    cell that holds a third of all rows is no task of its own.
+    leave a partner possible. A cell's vectors are dealt in blocks of ``block_rows``, and each two blocks are a task, so a
+    cell that holds a third of all rows is no task of its own. Visits are counted first and made again when they are sent; they aren't stored.
     """
     spark = heads.sparkSession
     heads = stored(heads.select("id", "v"), "heads")
-    n = min(most_cells, -(-heads.count() // per_cell))
+    total = heads.count()
+    n = min(most_cells, -(-total // per_cell))
     if not n:
         return spark.createDataFrame([], "a long, b long, score double")
     centre = pivots(heads, n)
@@ -113,31 +167,46 @@ def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, m
     sizes = {}
     for r in homes.groupBy("cell").agg(F.min("own").alias("own"), F.count("*").alias("n")).collect():  # a row a cell
         radius[r["cell"]], sizes[r["cell"]] = np.arccos(np.clip(r["own"], -1, 1)), r["n"]
-    visits = stored(homes.select("id", "v", "cell").mapInPandas(_visits(spark.sparkContext.broadcast((centre, radius)), least), kind), "visits")
-    guests = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    blocks = [(c, -(-k // per_cell), -(-guests.get(c, 0) // per_cell)) for c, k in sizes.items()]
+    bounds = spark.sparkContext.broadcast((centre, radius))
+    going = homes.select("id", "v", "cell")
+    guests = {r["cell"]: r["n"] for r in going.mapInPandas(_guests(bounds, least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    each = block_rows(total, per_cell)
+    blocks = [(c, -(-k // each), -(-guests.get(c, 0) // each)) for c, k in sizes.items()]
     of = F.broadcast(spark.createDataFrame(blocks, "cell int, own_blocks int, guest_blocks int"))  # a row a cell
     block = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
     own = homes.select("id", "v", "cell").join(of, "cell").withColumn("k", block("own_blocks"))
-    guest = visits.join(of, "cell").withColumn("k", F.col("own_blocks") + block("guest_blocks"))
+    guest = going.mapInPandas(_visits(bounds, least), kind).join(of, "cell").withColumn("k", F.col("own_blocks") + block("guest_blocks"))
     left = own.select("cell", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("own_blocks") + F.col("guest_blocks") - 1)).alias("j"), "id", "v")
     right = own.select("cell", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), "id", "v")
     right = right.union(guest.select("cell", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.col("k").alias("j"), "id", "v"))
 
+    return _multiplied(left, right, ["cell", "i", "j"], least, shape)
+
+
+def _multiplied(left: DataFrame, right: DataFrame, at: list[str], least: float, shape: Callable) -> DataFrame:
+    """The products of blocks that have the same place ``at`` (its last two columns are the blocks' numbers)."""
     right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
 
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        s = np.stack(x["v"].to_list()) @ np.stack(y["v_"].to_list()).T
-        p, q = np.nonzero(s >= least - 1e-12)
-        a, b = x["id"].to_numpy(), y["id_"].to_numpy()
-        if x["i"].iloc[0] == x["j"].iloc[0]:
-            one = a[p] < b[q]
-            p, q = p[one], q[one]
-        return shape(p, q, a, b, s)
-
-    return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell_", "i_", "j_")).applyInPandas(multiply, "a long, b long, score double")
+        same = x[at[-2]].iloc[0] == x[at[-1]].iloc[0]
+        a = {"id": x["id"].to_numpy(), "v": np.stack(x["v"].to_list())}
+        b = a if same else {"id": y["id_"].to_numpy(), "v": np.stack(y["v_"].to_list())}
+        return product(a, b, least, shape, same)
+
+    return left.groupBy(*at).cogroup(right.groupBy(*(f"{c}_" for c in at))).applyInPandas(multiply, "a long, b long, score double")
+
+
+def all_met(heads: DataFrame, least: float, shape: Callable, block: int = 2000) -> DataFrame:
+    """As ``met``, without cells: each two blocks of the vectors ``heads`` (id, v) are a task."""
+    total = heads.count()
+    n = max(1, -(-total // block_rows(total, block)))
+    dealt = heads.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # Block i meets block j >= i in the task (i, j).
+    left = dealt.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "id", "v")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "id", "v")
+    return _multiplied(left, right, ["i", "j"], least, shape)
 
 
 def _heads(rows: DataFrame, vector: str, row_id: str, normed) -> tuple[DataFrame, DataFrame]:
