@@ -58,7 +58,7 @@ def resolved(tokens: DataFrame, people: DataFrame) -> DataFrame:
     tokens: token; people: id, name. Unknown and empty tokens come back with a null id. Tokens meet the starts of words, of
     those lengths that some token has; those still unknown meet names by ``holding``.
     """
-    named = people.select("id", F.coalesce(F.lower("name"), F.lit("")).alias("name"))
+    named = stored(people.select("id", F.coalesce(F.lower("name"), F.lit("")).alias("name")).repartition("id", "name"), "named")  # a small file is one task, however much its rows unfold
     t = stored(tokens.select("token", F.lower("token").alias("folded")).where("folded <> ''").distinct(), "asked")
     words = F.concat(F.array("name", F.lower("id")), F.split("name", r"[\s#-]+"))
     begun = named.select("id", "name", F.explode(starts(words, lengths_of(t, "folded"))).alias("folded"))

@@ -75,7 +75,8 @@ def resolve_people(tokens: DataFrame, people: DataFrame) -> DataFrame:
     asked = stored(asked, "asked")
     aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(a)), lambda a: a != "")
     known = people.where("id is not null").select("id", F.lower(F.coalesce("name", "id")).alias("name"), aliases.alias("aliases"))
-    known = known.withColumn("texts", F.concat(F.array("name"), F.col("aliases")))
+    # Dealt anew: a file of a few MB is one task, however many starts and runs its rows unfold to.
+    known = stored(known.withColumn("texts", F.concat(F.array("name"), F.col("aliases"))).repartition("id", "name"), "known")
     exact = known.select("id", F.explode(F.array_distinct(F.concat(F.array("id"), F.col("texts")))).alias("t"))
     first = stored(exact.join(sized(asked), "t").select("token", "id", F.lit(1).alias("tier")).distinct(), "exact")
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from medialake.operators import filters, search_form, substrings
+from medialake.storage import stored
 
 
 @pytest.mark.parametrize(("few", "run"), [(0, 6), (100_000, 3), (3, 1)])
@@ -37,3 +38,19 @@ def test_a_name_that_nobody_has_broadcasts_no_people(spark, monkeypatch):
     found = search_form.resolve_people(spark.createDataFrame([("Customer#00000000",), ("NOBODY",)], "token string"), people)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.token, r.tier or 0) for r in found.collect()) == [("Customer#00000000", 2)] * 10 + [("NOBODY", 0)]
+
+
+def test_people_of_one_file_unfold_in_many_tasks(spark, monkeypatch):
+    """A small file is one task; people are dealt anew before their starts and runs are made."""
+    plans = {}
+
+    def kept(df, name="t"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, name)
+
+    people = spark.range(50).coalesce(1).selectExpr("concat('c-', id) id", "concat('Customer#', id) name", "array('') aliases")
+    tokens = spark.createDataFrame([("NOBODY",)], "token string")
+    for module, table in ((filters, "named"), (search_form, "known")):
+        monkeypatch.setattr(module, "stored", kept)
+        (filters.resolved if module is filters else search_form.resolve_people)(tokens, people)
+        assert "RepartitionByExpression [id" in plans[table]
