@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medialake.operators.events import HOUR, event_key, gap_session_starts, seconds
+from medialake.operators.events import HOUR, dealt_sessions, event_key, seconds
 
 
 def cards(rows: DataFrame, key: str, ts: str, row_id: str, lists: list[str], gap_s: int = 3 * HOUR, cover: int = 8) -> DataFrame:
     """One row for each gap session: key, start_at, end_at, size, span_minutes, event_key, ``cover`` first ids, and for
     each column of ``lists`` its distinct values in order of appearance.
 
-    What a list holds is distinct before it is gathered, and covers are cut by rank, so no session's rows meet as a whole.
+    A session is first told for each of its days, where its rows lie already: what a list holds is distinct and a cover is cut
+    before anything is gathered, so no session's rows meet as a whole and only these pieces are dealt again.
     """
-    at = gap_session_starts(rows, key, ts, row_id, gap_s)
-    of = [key, "session_start"]
-    out = at.groupBy(*of).agg(F.max(ts).alias("end_at"), F.count("*").alias("size"))
-    first = at.withColumn("_n", F.row_number().over(Window.partitionBy(*of).orderBy(ts, row_id))).where(F.col("_n") <= cover)
-    parts = [first.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("_n", row_id))).alias("cover"))]
-    for name in lists:
-        seen = at.where(F.col(name).isNotNull()).groupBy(*of, name).agg(F.min(F.struct(ts, row_id)).alias("_at"))
-        parts.append(seen.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("_at", name))).alias(name)))
-    for part, name in zip(parts, ["cover", *lists], strict=True):
-        mine = part.select(F.col(key).alias("_key"), F.col("session_start").alias("_start"), F.col(f"{name}.{row_id if name == 'cover' else name}").alias(name))
-        out = out.join(mine, F.col(key).eqNullSafe(F.col("_key")) & (F.col("session_start") == F.col("_start")), "left").drop("_key", "_start")
-    for name in lists:
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(dict(out.dtypes)[name])))
+    piece = ["_k", "_day", "session_start"]
+    at = dealt_sessions(rows, key, ts, row_id, gap_s)
+    ranked = lambda *by: F.row_number().over(Window.partitionBy(*piece, *by).orderBy(ts, row_id))
+    at = at.withColumns({"_n": ranked(), **{f"_n_{name}": ranked(name) for name in lists}})
+    told = lambda value: F.struct(F.col(ts).alias("t"), F.col(row_id).alias("i"), F.col(value).alias("x"))
+    held = [F.collect_list(F.when(F.col("_n") <= cover, told(row_id))).alias("cover")]
+    held += [F.collect_list(F.when((F.col(f"_n_{name}") == 1) & F.col(name).isNotNull(), told(name))).alias(name) for name in lists]
+    pieces = at.groupBy(*piece).agg(F.max(ts).alias("end_at"), F.count("*").alias("size"), *held)
+    ordered = lambda name: F.transform(F.array_sort(F.flatten(F.collect_list(name))), lambda s: s["x"])
+    out = pieces.groupBy("_k", "session_start").agg(
+        F.max("end_at").alias("end_at"), F.sum("size").alias("size"), F.slice(ordered("cover"), 1, cover).alias("cover"), *(F.array_distinct(ordered(name)).alias(name) for name in lists)
+    )
+    out = out.select(F.col(f"_k.{key}").alias(key), F.col("session_start").alias("start_at"), "end_at", "size", "cover", *lists)
     minutes = (seconds(F.col("end_at")) - seconds(F.col("start_at"))) / 60
-    return out.withColumnRenamed("session_start", "start_at").withColumn("span_minutes", minutes).withColumn("event_key", event_key(F.col(key), F.col("start_at"), F.col("size")))
+    return out.withColumn("span_minutes", minutes).withColumn("event_key", event_key(F.col(key), F.col("start_at"), F.col("size")))
 
 
 def neighbour_suggestions(events: DataFrame, key: str, telling, least_h: float = 3.0, most_h: float = 12.0) -> DataFrame:

@@ -13,25 +13,29 @@ def seconds(ts: Column) -> Column:
 
 
 def gap_session_starts(df: DataFrame, key: str, ts: str, row_id: str, gap_s: int = 3 * HOUR) -> DataFrame:
-    """``df`` with the ``session_start`` of each row: a gap of more than ``gap_s`` starts a new session; rows without a time are left out.
+    """``df`` with the ``session_start`` of each row: a gap of more than ``gap_s`` starts a new session; rows without a time are left out."""
+    return dealt_sessions(df, key, ts, row_id, gap_s).drop("_k", "_day")
 
-    Windows are per key and day; a small table of days carries sessions over midnight, so a key that holds
-    a third of all rows is still divided by days.
+
+def dealt_sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_s: int = 3 * HOUR) -> DataFrame:
+    """``gap_session_starts`` with ``_k``, the key in a struct, and ``_day``, by which the rows are dealt.
+
+    Windows are per key and day; a table of days carries sessions over midnight, so a key that holds
+    a third of all rows is still divided by days. Rows are dealt once: a day's rows, its ends and what it
+    carries lie by the same (key, day), the key in a struct, which is never null and so is met by plain equality.
     """
-    rows = df.where(F.col(ts).isNotNull()).withColumn("_day", F.to_date(ts))
-    inside = Window.partitionBy(key, "_day").orderBy(ts, row_id)
-    days = rows.groupBy(key, "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    across = Window.partitionBy(key).orderBy("_day")
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_day") == F.col("_on"))  # rows without a key are one key's
-    days = days.withColumn("_before", F.lag("_last").over(across)).select(F.col(key).alias("_key"), F.col("_day").alias("_on"), "_before")
-    rows = rows.join(days, same).drop("_key", "_on").withColumn("_before", F.coalesce(F.lag(ts).over(inside), "_before"))
-    new = F.col("_before").isNull() | (seconds(F.col(ts)) - seconds(F.col("_before")) > gap_s)
-    rows = rows.withColumn("_start", F.when(new, F.col(ts)))
-    last = rows.groupBy(key, "_day").agg(F.max("_start").alias("_carried"))
-    last = last.withColumn("_carried", F.last("_carried", True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(last.select(F.col(key).alias("_key"), F.col("_day").alias("_on"), "_carried"), same).drop("_key", "_on")
-    start = F.coalesce(F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_carried")
-    return rows.withColumn("session_start", start).drop("_day", "_before", "_start", "_carried")
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_k", F.struct(key)).withColumn("_day", F.to_date(ts))
+    inside = Window.partitionBy("_k", "_day").orderBy(ts, row_id)
+    across = Window.partitionBy("_k").orderBy("_day")
+    far = lambda later, earlier: seconds(F.col(later)) - seconds(F.col(earlier)) > gap_s
+    # Starts after a day's first row need only that day.
+    rows = rows.withColumn("_before", F.lag(ts).over(inside)).withColumn("_start", F.when(far(ts, "_before"), F.col(ts))).drop("_before")
+    days = rows.groupBy("_k", "_day").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_start").alias("_inner"))
+    days = days.withColumn("_before", F.lag("_last").over(across)).withColumn("_opened", F.when(F.col("_before").isNull() | far("_first", "_before"), F.col("_first")))
+    days = days.withColumn("_carried", F.last(F.coalesce("_inner", "_opened"), True).over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    days = days.select("_k", "_day", F.coalesce("_opened", "_carried").alias("_open"))
+    rows = rows.withColumn("_start", F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(days, ["_k", "_day"]).withColumn("session_start", F.coalesce("_start", "_open")).drop("_start", "_open")
 
 
 def gap_sessions(df: DataFrame, key: str, ts: str, row_id: str, gap_s: int = 3 * HOUR) -> DataFrame:

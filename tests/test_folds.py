@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from medialake.operators import cards as C
 from medialake.operators import folds as D
 
 CARDS = "event_key string, key string, start_at timestamp, end_at timestamp, folder array<string>, path array<string>, name string, day_level boolean, size long, cover array<long>"
@@ -84,3 +85,36 @@ def test_empty(spark):
     empty = spark.createDataFrame([], CARDS)
     joined = D.coalesce(empty, "key", lambda f: False)
     assert joined.collect() == [] and D.merged(joined, "key", ["folder"]).collect() == []
+
+
+ROWS = "id long, at timestamp, key string, folder string, person string"
+
+
+def test_cards_equal_plainly_and_deal_rows_once(spark):
+    """Sessions over midnight and over days, rows without key or time; the rows are shuffled once, then only days and pieces of sessions."""
+    rnd, rows, at = random.Random(5), [], dict.fromkeys(("k", "l", None), BASE)
+    for i in range(600):
+        key = rnd.choice(list(at))
+        at[key] += timedelta(minutes=rnd.choice([0, 1, 100, 179, 180, 181, 2000]))
+        rows.append((i, at[key] if rnd.random() > 0.03 else None, key, rnd.choice(["a", "b", None]), rnd.choice(["p", "q", "r", None])))
+    made = C.cards(spark.createDataFrame(rows, ROWS).repartition(3), "key", "at", "id", ["folder", "person"])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 6
+    want = []
+    for key in at:
+        last = None
+        for r in sorted((r for r in rows if r[2] == key and r[1]), key=lambda r: (r[1], r[0])):
+            if last is None or r[1] - last > timedelta(hours=3):
+                want.append([])
+            want[-1].append(r)
+            last = r[1]
+    seen = lambda session, n: list(dict.fromkeys(r[n] for r in session if r[n]))
+    want = sorted(((s[0][2] or "", s[0][1], s[-1][1], len(s), [r[0] for r in s[:8]], seen(s, 3), seen(s, 4)) for s in want), key=repr)
+    assert any(s[2].date() > s[1].date() for s in want) and max(s[3] for s in want) > 8
+    assert sorted(((r.key or "", r.start_at, r.end_at, r["size"], r.cover, r.folder, r.person) for r in made.collect()), key=repr) == want
+
+
+def test_the_fold_gets_no_lists(spark, monkeypatch):
+    given, fold = {}, D.fold
+    monkeypatch.setattr(D, "fold", lambda rows, *rest: given.update(dict(rows.dtypes)) or fold(rows, *rest))
+    D.coalesce(spark.createDataFrame(made(4, 20), CARDS), "key", lambda f: f in GENERIC)
+    assert given and not any(kind.startswith("array") for kind in given.values())
