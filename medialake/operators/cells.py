@@ -14,7 +14,8 @@ from medialake.storage import stored
 
 SLACK = 1e-7  # on all bounds, for rounding
 STRIP = 2000  # rows of each side that are multiplied at once
-BLOCKS = 32  # cells, or blocks of a cell, from which on these grow rather than their number
+BLOCKS = 32  # most cells
+GROWING = 8  # blocks from which on these grow rather than their number; each two are a task, 36 in all
 MOST_ROWS = 50_000  # of a block; with 64 places about 30 MB
 
 
@@ -139,10 +140,10 @@ def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> pd.D
     return _tree(out["a"].to_numpy(), out["b"].to_numpy()) if shape is _forest else out  # the strips' trees are one
 
 
-def block_rows(n: int, least_rows: int, blocks: int = BLOCKS, most_rows: int = MOST_ROWS) -> int:
+def block_rows(n: int, least_rows: int, blocks: int = GROWING, most_rows: int = MOST_ROWS) -> int:
     """Rows of a block: with more than ``blocks`` blocks of ``least_rows`` the blocks grow, not their number, up to what a task holds.
 
-    So a vector is sent to at most about ``blocks`` tasks, and what is shuffled grows as the rows do (up to ``blocks * most_rows`` rows).
+    So a vector is sent to about ``blocks`` tasks, and what is shuffled grows as the rows do (from ``blocks * least_rows`` to ``blocks * most_rows`` rows).
     """
     return min(max(least_rows, -(-n // blocks)), max(least_rows, most_rows))
 
@@ -150,14 +151,15 @@ def block_rows(n: int, least_rows: int, blocks: int = BLOCKS, most_rows: int = M
 def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, most_cells: int = BLOCKS) -> DataFrame:
     """(a, b, score) by ``shape`` for the distinct unit vectors ``heads`` (id, v) with a dot product of at least ``least``, above 0.
 
-    There is a cell for every ``per_cell`` vectors, up to ``most_cells``. A vector is sent to its own cell and visits those above it in which its bounds
-    leave a partner possible. A cell's vectors are dealt in blocks of ``block_rows``, and each two blocks are a task, so a
+    There is a cell for every block of ``block_rows``, up to ``most_cells``. A vector is sent to its own cell and visits those above it in which its bounds
+    leave a partner possible. A cell's vectors are dealt in such blocks, and each two blocks are a task, so a
     cell that holds a third of all rows is no task of its own. Visits are counted first and made again when they are sent; they aren't stored.
     """
     spark = heads.sparkSession
     heads = stored(heads.select("id", "v"), "heads")
     total = heads.count()
-    n = min(most_cells, -(-total // per_cell))
+    each = block_rows(total, per_cell)
+    n = min(most_cells, -(-total // each))
     if not n:
         return spark.createDataFrame([], "a long, b long, score double")
     centre = pivots(heads, n)
@@ -170,7 +172,6 @@ def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, m
     bounds = spark.sparkContext.broadcast((centre, radius))
     going = homes.select("id", "v", "cell")
     guests = {r["cell"]: r["n"] for r in going.mapInPandas(_guests(bounds, least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    each = block_rows(total, per_cell)
     blocks = [(c, -(-k // each), -(-guests.get(c, 0) // each)) for c, k in sizes.items()]
     of = F.broadcast(spark.createDataFrame(blocks, "cell int, own_blocks int, guest_blocks int"))  # a row a cell
     block = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")

@@ -27,3 +27,8 @@ def test_blocks_grow_rather_than_their_number():
     for n in (10, 2000, 64_000, 100_000, 600_000, 1_600_000):
         assert -(-n // K.block_rows(n, 2000)) <= K.BLOCKS and K.block_rows(n, 2000) <= K.MOST_ROWS
     assert K.block_rows(10_000_000, 2000) == K.MOST_ROWS and K.block_rows(50, 2000) == 2000
+
+
+def test_a_vector_is_sent_to_as_many_tasks_whatever_the_rows():
+    """From 16,000 to 400,000 rows what is shuffled grows in proportion."""
+    assert {-(-n // K.block_rows(n, 2000)) for n in (16_000, 20_000, 51_282, 102_564, 400_000)} == {8}
