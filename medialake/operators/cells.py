@@ -16,7 +16,7 @@ SLACK = 1e-7  # on all bounds, for rounding
 STRIP = 2000  # rows of each side that are multiplied at once
 BLOCKS = 32  # most cells
 GROWING = 8  # blocks from which on these grow rather than their number; each two are a task, 36 in all
-MOST_ROWS = 50_000  # of a block; with 64 places about 30 MB
+MOST_ROWS = 100_000  # of a block on average, at most half more; with 64 places about 50 MB
 
 
 def pivots(heads: DataFrame, n: int, sample: int = 16, rounds: int = 4) -> np.ndarray:
@@ -127,7 +127,7 @@ def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> pd.D
             if same and j + STRIP <= i:
                 continue
             s = x["v"][i : i + STRIP] @ y["v"][j : j + STRIP].T
-            p, q = np.nonzero(s >= least - 1e-12)
+            p, q = np.divmod(np.flatnonzero(s >= least - 1e-12), s.shape[1])
             a, b = x["id"][i : i + STRIP], y["id"][j : j + STRIP]
             if same:
                 one = p + i < q + j
@@ -148,15 +148,20 @@ def block_rows(n: int, least_rows: int, blocks: int = GROWING, most_rows: int =
     return min(max(least_rows, -(-n // blocks)), max(least_rows, most_rows))
 
 
+def _parts(n: int, each: int) -> int:
+    """Blocks for ``n`` rows: as near to ``each`` as may be, at most half above it, so that a cell a little above it isn't sent twice."""
+    return max(1, (n + each // 2) // each) if n else 0
+
+
 def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, most_cells: int = BLOCKS) -> DataFrame:
-    """(a, b, score) by ``shape`` for the distinct unit vectors ``heads`` (id, v) with a dot product of at least ``least``, above 0.
+    """(a, b, score) by ``shape`` for the distinct unit vectors ``heads`` (id, v), a stored table, with a dot product of at least ``least``, above 0.
 
     There is a cell for every block of ``block_rows``, up to ``most_cells``. A vector is sent to its own cell and visits those above it in which its bounds
     leave a partner possible. A cell's vectors are dealt in such blocks, and each two blocks are a task, so a
     cell that holds a third of all rows is no task of its own. Visits are counted first and made again when they are sent; they aren't stored.
     """
     spark = heads.sparkSession
-    heads = stored(heads.select("id", "v"), "heads")
+    heads = heads.select("id", "v")
     total = heads.count()
     each = block_rows(total, per_cell)
     n = min(most_cells, -(-total // each))
@@ -172,26 +177,26 @@ def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, m
     bounds = spark.sparkContext.broadcast((centre, radius))
     going = homes.select("id", "v", "cell")
     guests = {r["cell"]: r["n"] for r in going.mapInPandas(_guests(bounds, least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    blocks = [(c, -(-k // each), -(-guests.get(c, 0) // each)) for c, k in sizes.items()]
+    blocks = [(c, _parts(k, each), _parts(guests.get(c, 0), each)) for c, k in sizes.items()]
     of = F.broadcast(spark.createDataFrame(blocks, "cell int, own_blocks int, guest_blocks int"))  # a row a cell
     block = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")
     own = homes.select("id", "v", "cell").join(of, "cell").withColumn("k", block("own_blocks"))
     guest = going.mapInPandas(_visits(bounds, least), kind).join(of, "cell").withColumn("k", F.col("own_blocks") + block("guest_blocks"))
     left = own.select("cell", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("own_blocks") + F.col("guest_blocks") - 1)).alias("j"), "id", "v")
-    right = own.select("cell", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), "id", "v")
+    right = own.where("k > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("k").alias("j"), "id", "v")
     right = right.union(guest.select("cell", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.col("k").alias("j"), "id", "v"))
 
     return _multiplied(left, right, ["cell", "i", "j"], least, shape)
 
 
 def _multiplied(left: DataFrame, right: DataFrame, at: list[str], least: float, shape: Callable) -> DataFrame:
-    """The products of blocks that have the same place ``at`` (its last two columns are the blocks' numbers)."""
+    """The products of blocks that have the same place ``at`` (its last two columns are the blocks' numbers); a block that meets itself is sent in ``left`` alone."""
     right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
 
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
+        same = not x.empty and x[at[-2]].iloc[0] == x[at[-1]].iloc[0]
+        if x.empty or (y.empty and not same):
             return pd.DataFrame({"a": [], "b": [], "score": []})
-        same = x[at[-2]].iloc[0] == x[at[-1]].iloc[0]
         a = {"id": x["id"].to_numpy(), "v": np.stack(x["v"].to_list())}
         b = a if same else {"id": y["id_"].to_numpy(), "v": np.stack(y["v_"].to_list())}
         return product(a, b, least, shape, same)
@@ -206,7 +211,7 @@ def all_met(heads: DataFrame, least: float, shape: Callable, block: int = 2000)
     dealt = heads.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     # Block i meets block j >= i in the task (i, j).
     left = dealt.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "id", "v")
-    right = dealt.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "id", "v")
+    right = dealt.where("block > 0").select(F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), "id", "v")
     return _multiplied(left, right, ["i", "j"], least, shape)
 
 

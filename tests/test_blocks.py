@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from medialake.operators import cells as K
 
@@ -32,3 +33,26 @@ def test_blocks_grow_rather_than_their_number():
 def test_a_vector_is_sent_to_as_many_tasks_whatever_the_rows():
     """From 16,000 to 400,000 rows what is shuffled grows in proportion."""
     assert {-(-n // K.block_rows(n, 2000)) for n in (16_000, 20_000, 51_282, 102_564, 400_000)} == {8}
+
+
+@pytest.mark.parametrize("cells", [True, False])
+def test_a_block_that_meets_itself_is_sent_once(spark, monkeypatch, cells):
+    """With two blocks three products need each row at two of them, not three."""
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(400, 12))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    heads = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").localCheckpoint()
+    sent, whole = [], K._multiplied
+    monkeypatch.setattr(K, "_multiplied", lambda left, right, *rest: (sent.append(left.count() + right.count()), whole(left, right, *rest))[1])
+    got = (K.met if cells else K.all_met)(heads, 0.3, K._pairs, 200)
+    s = v @ v.T
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a in range(400) for b in range(a + 1, 400) if s[a, b] >= 0.3 - 1e-12}
+    assert sent[0] <= 2 * len(v)
+
+
+def test_a_length_is_taken_once():
+    """Not again for each place of a vector: its square would stand inside the function that divides."""
+    from medialake.operators.vectors import normed
+
+    plan = lambda v: str(normed(v)._jc.toString()) if hasattr(normed(v), "_jc") else str(normed(v))
+    assert plan(F.col("v")).lower().count("sqrt") == 1
