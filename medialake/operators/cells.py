@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.operators.graph import connected_components
@@ -220,6 +220,25 @@ def _heads(rows: DataFrame, vector: str, row_id: str, normed) -> tuple[DataFrame
     return unit, stored(unit.groupBy("v").agg(F.min("id").alias("id")), "distinct")
 
 
+def vector_key(v: str) -> Column:
+    return F.xxhash64(v)
+
+
+def copies(unit: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b): each row b of ``unit`` (id, v) with the head a of its vector, but heads themselves; ``heads`` (id, v) has each vector of ``unit`` once.
+
+    Rows meet by a hash: where one head has it, all rows with it are of that head. Vectors are sent only where different ones share a hash.
+    """
+    keyed = unit.select("id", vector_key("v").alias("key"))
+    named = stored(heads.select(vector_key("v").alias("key"), "id").groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("vectors")), "keys")
+    found = keyed.join(named.where("vectors = 1"), "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    shared = named.where("vectors > 1").select("key")
+    if shared.isEmpty():
+        return found
+    mixed = unit.withColumn("key", vector_key("v")).join(shared, "key", "left_semi").select("id", "v")
+    return found.union(mixed.join(heads.withColumnRenamed("id", "head"), "v").where("id <> head").select("head", "id"))
+
+
 def pairs(rows: DataFrame, vector: str, row_id: str, least: float, per_cell: int = 2000) -> DataFrame:
     """All pairs (a < b, score) of different vectors with a cosine of at least ``least``; of equal ones the smallest id stands for all."""
     from medialake.operators.vectors import normed
@@ -236,6 +255,5 @@ def stack_members(rows: DataFrame, vector: str, row_id: str, least: float, per_c
     from medialake.operators.vectors import normed
 
     unit, heads = _heads(rows, vector, row_id, normed)
-    copies = unit.join(heads.withColumnRenamed("id", "head"), "v").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    edges = met(heads, least, _forest, per_cell).select("a", "b").union(copies)
+    edges = met(heads, least, _forest, per_cell).select("a", "b").union(copies(unit, heads))
     return connected_components(edges, "a", "b").withColumnsRenamed({"node": row_id, "component": "head"})

@@ -50,6 +50,18 @@ def test_a_block_that_meets_itself_is_sent_once(spark, monkeypatch, cells):
     assert sent[0] <= 2 * len(v)
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_copies_meet_by_their_hash(spark, monkeypatch, mixed):
+    """No join sends vectors, unless different ones share a hash; these are told apart."""
+    if mixed:
+        monkeypatch.setattr(K, "vector_key", lambda v: F.pmod(F.xxhash64(v), F.lit(3)))
+    unit = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)] + [(40, [-0.0, 1.0])], "id long, v array<double>")
+    heads = unit.groupBy("v").agg(F.min("id").alias("id"))
+    got = K.copies(unit, heads)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted([(i % 7, i) for i in range(7, 40)] + [(0, 40)])
+    assert mixed or "v#" not in " ".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+
+
 def test_a_length_is_taken_once():
     """Not again for each place of a vector: its square would stand inside the function that divides."""
     from medialake.operators.vectors import normed
