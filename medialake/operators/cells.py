@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,12 +117,13 @@ def _guests(shared, least: float):
     return run
 
 
-def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> pd.DataFrame:
+def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> Iterator[pd.DataFrame]:
     """(a, b, score) by ``shape`` for the rows of two blocks (id, v) that reach ``least``; ``same``: the block meets itself.
 
-    A strip of ``x`` and one of ``y`` are multiplied at a time, so that a task holds two blocks, 4 million scores and what it has found.
+    A strip of ``x`` and one of ``y`` are multiplied at a time and what they give is sent on, so that a task holds two blocks and 4 million scores, however
+    many pairs it finds. The strips' trees are kept, as they become one: no more rows than the blocks have.
     """
-    found = []
+    trees = []
     for i in range(0, len(x["id"]), STRIP):
         for j in range(0, len(y["id"]), STRIP):
             if same and j + STRIP <= i:
@@ -132,12 +134,13 @@ def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> pd.D
             if same:
                 one = p + i < q + j
                 p, q = p[one], q[one]
-            if len(p):
-                found.append(shape(p, q, a, b, s))
-    if not found:
-        return pd.DataFrame({"a": [], "b": [], "score": []})
-    out = pd.concat(found, ignore_index=True)
-    return _tree(out["a"].to_numpy(), out["b"].to_numpy()) if shape is _forest else out  # the strips' trees are one
+            if len(p) and shape is _forest:
+                trees.append(shape(p, q, a, b, s))
+            elif len(p):
+                yield shape(p, q, a, b, s)
+        if len(trees) > 1:
+            trees = [_tree(np.concatenate([t["a"].to_numpy() for t in trees]), np.concatenate([t["b"].to_numpy() for t in trees]))]
+    yield from trees
 
 
 def block_rows(n: int, least_rows: int, blocks: int = GROWING, most_rows: int = MOST_ROWS) -> int:
@@ -191,17 +194,23 @@ def met(heads: DataFrame, least: float, shape: Callable, per_cell: int = 2000, m
 
 def _multiplied(left: DataFrame, right: DataFrame, at: list[str], least: float, shape: Callable) -> DataFrame:
     """The products of blocks that have the same place ``at`` (its last two columns are the blocks' numbers); a block that meets itself is sent in ``left`` alone."""
-    right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
+    i, j = at[-2:]
 
-    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        same = not x.empty and x[at[-2]].iloc[0] == x[at[-1]].iloc[0]
-        if x.empty or (y.empty and not same):
-            return pd.DataFrame({"a": [], "b": [], "score": []})
-        a = {"id": x["id"].to_numpy(), "v": np.stack(x["v"].to_list())}
-        b = a if same else {"id": y["id_"].to_numpy(), "v": np.stack(y["v_"].to_list())}
-        return product(a, b, least, shape, same)
-
-    return left.groupBy(*at).cogroup(right.groupBy(*(f"{c}_" for c in at))).applyInPandas(multiply, "a long, b long, score double")
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vs, same = ([], []), ([], []), False
+        for df in batches:
+            same = df[i].iloc[0] == df[j].iloc[0]
+            for side in (0, 1):
+                part = df[df["side"] == side]
+                if len(part):
+                    ids[side].append(part["id"].to_numpy())
+                    vs[side].append(np.stack(part["v"].to_list()))
+        if ids[0] and (ids[1] or same):
+            x = {"id": np.concatenate(ids[0]), "v": np.concatenate(vs[0])}
+            yield from product(x, x if same else {"id": np.concatenate(ids[1]), "v": np.concatenate(vs[1])}, least, shape, same)
+
+    sides = left.select(*at, "id", "v", F.lit(0).alias("side")).union(right.select(*at, "id", "v", F.lit(1).alias("side")))
+    return sides.groupBy(*at).applyInPandas(multiply, "a long, b long, score double")
 
 
 def all_met(heads: DataFrame, least: float, shape: Callable, block: int = 2000) -> DataFrame:
