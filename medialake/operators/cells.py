@@ -117,30 +117,45 @@ def _guests(shared, least: float):
     return run
 
 
-def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> Iterator[pd.DataFrame]:
-    """(a, b, score) by ``shape`` for the rows of two blocks (id, v) that reach ``least``; ``same``: the block meets itself.
-
-    A strip of ``x`` and one of ``y`` are multiplied at a time and what they give is sent on, so that a task holds two blocks and 4 million scores, however
-    many pairs it finds. The strips' trees are kept, as they become one: no more rows than the blocks have.
-    """
-    trees = []
+def hits(x: dict, y: dict, least: float, same: bool, slack: float = 1e-12) -> Iterator[tuple]:
+    """(i, j, p, q, s) for each strip of ``x`` from row i and of ``y`` from row j, two blocks (id, v): s[p, q] are the scores that reach ``least``, but for ``slack``. ``same``: the block meets itself."""
     for i in range(0, len(x["id"]), STRIP):
         for j in range(0, len(y["id"]), STRIP):
             if same and j + STRIP <= i:
                 continue
             s = x["v"][i : i + STRIP] @ y["v"][j : j + STRIP].T
-            p, q = np.divmod(np.flatnonzero(s >= least - 1e-12), s.shape[1])
-            a, b = x["id"][i : i + STRIP], y["id"][j : j + STRIP]
+            p, q = np.divmod(np.flatnonzero(s >= least - slack), s.shape[1])
             if same:
                 one = p + i < q + j
                 p, q = p[one], q[one]
-            if len(p) and shape is _forest:
-                trees.append(shape(p, q, a, b, s))
-            elif len(p):
-                yield shape(p, q, a, b, s)
-        if len(trees) > 1:
-            trees = [_tree(np.concatenate([t["a"].to_numpy() for t in trees]), np.concatenate([t["b"].to_numpy() for t in trees]))]
-    yield from trees
+            if len(p):
+                yield i, j, p, q, s
+
+
+def product(x: dict, y: dict, least: float, shape: Callable, same: bool) -> Iterator[pd.DataFrame]:
+    """(a, b, score) by ``shape`` for the rows of two blocks (id, v) that reach ``least``; ``same``: the block meets itself.
+
+    A strip of ``x`` and one of ``y`` are multiplied at a time and what they give is sent on, so that a task holds two blocks and 4 million scores, however
+    many pairs it finds. Only a class (``linkage.Nearest``) and trees, which become one, gather: no more rows than the blocks have.
+    """
+    if isinstance(shape, type):
+        yield from shape(x, y, same, least).found()
+        return
+    trees, row = [], 0
+    for i, j, p, q, s in hits(x, y, least, same):
+        if i > row and len(trees) > 1:
+            trees, row = [_joined(trees)], i
+        found = shape(p, q, x["id"][i : i + STRIP], y["id"][j : j + STRIP], s)
+        if shape is _forest:
+            trees.append(found)
+        else:
+            yield found
+    if trees:
+        yield _joined(trees)
+
+
+def _joined(trees: list[pd.DataFrame]) -> pd.DataFrame:
+    return _tree(np.concatenate([t["a"].to_numpy() for t in trees]), np.concatenate([t["b"].to_numpy() for t in trees]))
 
 
 def block_rows(n: int, least_rows: int, blocks: int = GROWING, most_rows: int = MOST_ROWS) -> int:
