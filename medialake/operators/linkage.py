@@ -186,8 +186,8 @@ def merged(clusters: DataFrame, best: DataFrame, merges: DataFrame) -> DataFrame
 def sought(clusters: DataFrame, seekers: int, number: int, least: float, most_sent: int = MOST_SENT, most_rows: int = MOST_ROWS, least_rows: int = 2000) -> DataFrame:
     """(c, o, s): the nearest cluster of each of ``clusters`` (c, n, v, o, s; a stored table) that searches, and for others what is nearer than they have.
 
-    Up to ``most_sent`` that search (they were counted) are sent to all tasks that read the table, and no vector is shuffled. Else blocks of those that search meet blocks
-    of all in about ``TASKS`` products.
+    Up to ``most_sent`` that search (they were counted) are sent to all tasks that read the table, and no vector is shuffled. Else blocks of those that search meet one another
+    and blocks of the others in about ``TASKS`` products.
     """
     if seekers <= most_sent:
         found = clusters.where(F.col("s") == SEEKS).select("c", "v").toArrow()
@@ -200,31 +200,45 @@ def sought(clusters: DataFrame, seekers: int, number: int, least: float, most_se
 
         return clusters.select("c", "v", "o", "s").mapInPandas(visit, "c long, o long, s double")
 
-    across = lambda n, wanted: max(1, -(-n // most_rows), min(-(-n // least_rows), wanted))
-    rows = across(seekers, int(np.ceil((TASKS * seekers / max(1, number)) ** 0.5)))
-    cols = across(number, -(-TASKS // rows))
+    own, rest = _blocks(seekers, number - seekers, most_rows, least_rows)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = ([], [])
+        got, same = ([], []), False
         for df in batches:
+            same = df["i"].iloc[0] == df["j"].iloc[0]
             for side in (0, 1):
                 part = df[df["side"] == side]
                 if len(part):
                     got[side].append(_block(part))
-        if got[0] and got[1]:
-            x, y = ({k: np.concatenate([part[k] for part in side]) for k in ("id", "v", "o", "s")} for side in got)
-            yield from _search(x, y, least)
+        x, y = ({k: np.concatenate([part[k] for part in side]) for k in side[0]} if side else None for side in got)
+        if x and (y or same):
+            yield from _search(x, x if same else y, least, same)
 
+    # Block i of those that search meets block j >= i in the task (i, j); the others' blocks come after.
     block = lambda n: F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    seek = clusters.where(F.col("s") == SEEKS).select(block(rows).alias("i"), every(cols).alias("j"), "c", "v", "o", "s", F.lit(0).alias("side"))
-    all_of = clusters.select(every(rows).alias("i"), block(cols).alias("j"), "c", "v", "o", "s", F.lit(1).alias("side"))
-    return seek.union(all_of).groupBy("i", "j").applyInPandas(search, "c long, o long, s double")
+    to = lambda first, last: F.explode(F.sequence(first, last))
+    seek = clusters.where(F.col("s") == SEEKS).select("c", "v", F.col("c").alias("o"), F.lit(float("-inf")).alias("s"), block(own).alias("k"))
+    others = clusters.where(F.col("s") < SEEKS).select("c", "v", "o", "s", (own + block(rest)).alias("j"))
+    left = seek.select(F.col("k").alias("i"), to(F.col("k"), F.lit(own + rest - 1)).alias("j"), "c", "v", "o", "s", F.lit(0).alias("side"))
+    right = seek.where("k > 0").select(to(F.lit(0), F.col("k") - 1).alias("i"), F.col("k").alias("j"), "c", "v", "o", "s", F.lit(1).alias("side"))
+    right = right.union(others.select(to(F.lit(0), F.lit(own - 1)).alias("i"), "j", "c", "v", "o", "s", F.lit(1).alias("side")))
+    return left.union(right).groupBy("i", "j").applyInPandas(search, "c long, o long, s double")
+
+
+def _blocks(seekers: int, others: int, most_rows: int, least_rows: int) -> tuple[int, int]:
+    """Into how many blocks those that search and the others are dealt: no product is over twice a ``TASKS``th of all, with the fewest vectors sent."""
+    most = max(2 * (seekers * seekers / 2 + seekers * others) / TASKS, least_rows**2)
+    fewest = max(1, -(-seekers // most_rows), int(np.ceil(seekers / most**0.5)))
+    choices = []
+    for own in range(fewest, fewest + 8):
+        rest = max(1, -(-others // most_rows), int(np.ceil(seekers / own * others / most)))
+        choices.append((seekers * (own + rest) + others * own, own, rest))
+    return min(choices)[1:]
 
 
 def _block(df: pd.DataFrame) -> dict:
     return {"id": df["c"].to_numpy(), "v": np.stack(df["v"].to_list()), "o": df["o"].to_numpy(), "s": df["s"].to_numpy()}
 
 
-def _search(x: dict, y: dict, least: float) -> Iterator[pd.DataFrame]:
-    yield from (df.set_axis(["c", "o", "s"], axis=1) for df in Nearest(x, y, False, least).found())
+def _search(x: dict, y: dict, least: float, same: bool = False) -> Iterator[pd.DataFrame]:
+    yield from (df.set_axis(["c", "o", "s"], axis=1) for df in Nearest(x, y, same, least).found())
