@@ -19,6 +19,7 @@ from medialake.operators.cells import MOST_ROWS, STRIP, _joined, _tree, hits
 SEEKS = 9.0  # in place of the similarity of a cluster that searches; above any cosine
 CHUNK = 100_000  # pairs whose vectors are multiplied at once
 MOST_SENT = 20_000  # that search, sent to every task; with 64 places about 10 MB
+FEW_MERGE = 30  # a round that merges less than this part of the clusters is as dear as others, but leaves the next nearly as many
 TASKS = 36  # of a search, about; as many as eight blocks that meet one another have
 
 
@@ -120,25 +121,21 @@ def _nearer(top: np.ndarray, of: np.ndarray, at: np.ndarray, s: np.ndarray, o: n
 
 
 def linked(least: float):
-    """Average linkage of some clusters (c, n, v), given with their mean vectors, in one task: (c, cluster). It holds the vectors and one strip of scores."""
+    """Average linkage of some clusters (c, n, v), given with their mean vectors, in one task: (c, cluster). It holds the vectors and one strip of scores.
+
+    They may come with the nearest of each (``o`` at ``s``), else these are searched first.
+    """
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("c", ignore_index=True)
         n, v = df["n"].to_numpy(float), np.stack(df["v"].to_list())
         at, into = np.arange(len(df)), np.arange(len(df))  # rows are in the order of ids
-        top, of, seek = np.full(len(df), -np.inf), at.copy(), None
+        if "o" in df:
+            top, of = df["s"].to_numpy(float).copy(), np.searchsorted(df["c"].to_numpy(), df["o"].to_numpy())
+        else:
+            rows = {"id": at, "v": v}
+            top, of = Nearest(rows, rows, True, least).x
         while True:
-            rows = {"id": np.arange(len(at)), "v": v}
-            if seek is not None:
-                top[seek], of[seek] = SEEKS, seek
-                rows |= {"s": top, "o": of}
-            x = rows if seek is None else {"id": seek, "v": v[seek]}
-            got = Nearest(x, rows, seek is None, least)
-            if seek is None:
-                top, of = got.x
-            else:
-                top, of = got.y
-                top[seek], of[seek] = got.x
             live = np.flatnonzero(top > -np.inf)
             if not len(live):
                 break
@@ -159,6 +156,10 @@ def linked(least: float):
             seek = live[moved[live] | moved[of[live]]]
             v[b], top[b], of[b] = 0, -np.inf, b  # meets nothing from now on
             seek = np.setdiff1d(seek, b)
+            top[seek], of[seek] = SEEKS, seek
+            got = Nearest({"id": seek, "v": v[seek]}, {"id": np.arange(len(at)), "v": v, "s": top, "o": of}, False, least)
+            top, of = got.y
+            top[seek], of[seek] = got.x
         while (into[into] != into).any():
             into = into[into]
         ids = df["c"].to_numpy()
@@ -167,15 +168,16 @@ def linked(least: float):
     return run
 
 
-def merged(clusters: DataFrame, best: DataFrame, merges: DataFrame) -> DataFrame:
-    """The clusters (c, n, v, o, s) after ``merges`` (a, b) from those with a nearest one in ``best`` (c, o, s); who has to search has ``SEEKS`` for ``s``.
-
-    Only who is moved, or has a moved one, meets the merges, by ids; vectors are joined once.
-    """
+def marked(best: DataFrame, merges: DataFrame) -> DataFrame:
+    """(c, into, o, s) for the clusters with a nearest one (c, o, s) after ``merges`` (a, b): who has to search, as it merged or its nearest one did, has ``SEEKS`` for ``s``."""
     moved = merges.select(F.col("b").alias("c"), F.col("a").alias("into")).union(merges.select("a", "a"))
     marks = best.join(moved, "c", "left").join(moved.select(F.col("c").alias("o"), F.lit(True).alias("lost")), "o", "left")
     seeks = F.col("into").isNotNull() | F.col("lost").isNotNull()
-    marks = marks.select("c", "into", F.when(seeks, F.col("c")).otherwise(F.col("o")).alias("o"), F.when(seeks, F.lit(SEEKS)).otherwise(F.col("s")).alias("s"))
+    return marks.select("c", "into", F.when(seeks, F.col("c")).otherwise(F.col("o")).alias("o"), F.when(seeks, F.lit(SEEKS)).otherwise(F.col("s")).alias("s"))
+
+
+def merged(clusters: DataFrame, marks: DataFrame) -> DataFrame:
+    """The clusters (c, n, v, o, s) after the merges in ``marks``, from those before (c, n, v); those without a nearest one are left out, as they are done."""
     met = clusters.select("c", "n", "v").join(marks, "c")
     two = met.where("into is not null").groupBy("into").agg(F.sum("n").alias("n"), F.collect_list(F.struct("n", "v")).alias("t"))
     weighed = lambda k: F.transform(F.col("t")[k]["v"], lambda x: x * F.col("t")[k]["n"])
